@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, mixing, sharding, simhash
+from . import decontam, embed_dedup, line_dedup, lm, mixing, pii, quality, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,26 @@ def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "pages"))
+    return done.select("page_id", "host", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"), spark)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.sanitise(table(spark, sf_dir, "documents")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs).select("doc_id", "doc_bytes", "shard_id", "shard_bytes")
@@ -31,15 +51,33 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("found") > 0).select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.item_id", "m.edits", "m.end")
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_embedding_links": op2_embedding_links,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_warc": op4_warc,
+    "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
     "op7_shard": op7_shard,
     "op8_simhash": op8_simhash,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.SQL,
     "op2_embedding_links": embed_dedup.SQL,
+    "op3_line_dedup": line_dedup.SQL,
+    "op4_warc": warc.SQL,
     "op7_shard": sharding.SQL,
 }
