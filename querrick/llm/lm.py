@@ -75,12 +75,26 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, sent: int = SENT_TOKENS) -> Vocabulary:
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.col("c").desc(), "token").limit(sent).collect()
-    frequent = [(bytes(r["token"]), r["c"]) for r in top]
+    """Totals, and the tokens over a count that at most ``sent`` tokens exceed.
+
+    That count comes from a histogram in 32 steps a doubling, so that no task
+    sends its own ``sent`` tokens to the driver. Where more tokens than ``sent``
+    share the highest step, the first of them by token are taken.
+    """
+    step = F.floor(F.log2("c") * 32).cast("int")
+    steps = sorted(counts.groupBy(step.alias("s")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    least, held = None, 0
+    for row in steps:
+        if held + row["n"] > sent and held:
+            break
+        least, held = row["s"], held + row["n"]
+    some = counts.where(step >= least) if least is not None else counts.limit(0)
+    top = (some if held <= sent else some.orderBy("token").limit(sent)).collect()
+    frequent = sorted(((bytes(r["token"]), r["c"]) for r in top), key=lambda x: (-x[1], x[0]))
+    total, distinct = sum(r["c"] for r in steps), sum(r["n"] for r in steps)
     if total and END not in dict(frequent):
         frequent[-1] = END, counts.where(F.col("token") == F.lit(END)).first()["c"]
-    return Vocabulary(int(total), int(distinct), frequent)
+    return Vocabulary(total, distinct, frequent)
 
 
 def class_ids(classes: list[bytes]) -> dict[bytes, int]:

@@ -108,10 +108,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_text_byte
     rows count as examples of their own.
     """
     able = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__y"), F.md5(F.col(id_col).cast("string")).alias("__order"))
-    some = None
+    some, there = None, dict(able.groupBy("__y").count().collect())
     for value in (0, 1):
-        # twice as many labels as needed, for some have no document or a large one
-        part = able.where(F.col("__y") == value).orderBy("__order", "__id").limit(2 * per_class)
+        # twice as many labels as needed, for some have no document or a large one; a threshold on the hash comes first, so that no task sends many
+        part = able.where(F.col("__y") == value)
+        if (share := 4 * per_class / max(1, there.get(value, 0))) < 1:
+            part = part.where(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") < int(share * 2**32))
+        part = part.orderBy("__order", "__id").limit(2 * per_class)
         some = part if some is None else some.unionByName(part)
     found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(some), F.col("__doc") == F.col("__id"))
     found = found.where(F.octet_length("__text") <= max_text_bytes)
