@@ -163,7 +163,8 @@ def _search(items: list[tuple[int, str]], rate: float, kind: str):  # noqa: ANN2
             yield pa.array([[dict(zip(("item_id", "edits", "end"), m, strict=True)) for m in finder.find(t.as_py())] for t in texts], shape)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return arrow_udf(run, kind)
+    # else a filter on the result would be run as a second search
+    return arrow_udf(run, kind).asNondeterministic()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:  # noqa: ANN003

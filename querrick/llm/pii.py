@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 SENT_TERMS = 500_000
 #: Terms that a task counts before it hands them on.
 FLUSH = 200_000
+#: Terms whose counts are added up in one place.
+BLOCK = 16_384
 STRIP = ".,;:!?()[]{}<>\"'|*#$%&/\\"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -125,23 +129,50 @@ def find(docs: DataFrame, window: int = 5, id_col: str = "doc_id", text_col: str
     return slim.mapInArrow(run, "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string,start:long,end:long>>")
 
 
-def term_frequencies(docs: DataFrame, wanted: set[str] | None, text_col: str = "text") -> DataFrame:
-    """``(term, df)``: in how many documents each term is; of ``wanted`` terms only, if they are given."""
+def term_frequencies(docs: DataFrame, wanted: list[str] | None, text_col: str = "text") -> DataFrame:
+    """``(term, df)``: in how many documents each term is; of the ``wanted`` terms only, if they are given.
+
+    Most wanted terms are in most tasks, so each task counts them in an array and
+    hands it on in blocks, packed, and blocks are added up as arrays.
+    """
     slim = docs.select(F.col(text_col).cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {t: i for i, t in enumerate(wanted)}
+        known, counts = place.keys(), np.zeros(len(place), dtype=np.uint32)
+        for batch in batches:
+            for value in batch.column(0):
+                found = terms(set((value.as_py() or "").lower().split())) & known
+                if found:
+                    counts[[place[t] for t in found]] += 1
+        starts = range(0, len(counts), BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([zlib.compress(counts[i : i + BLOCK].tobytes(), 1) for i in starts], pa.binary())], names=["block", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.frombuffer(zlib.decompress(packed.as_py()), dtype=np.uint32).astype(np.int64)
+                sums[block] = sums[block] + more if block in sums else more
+        for block, total in sums.items():
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([wanted[block + i] for i in some], pa.string()), pa.array(total[some])], names=["term", "df"])
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = lambda c: pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["term", "df"])
         seen: Counter[str] = Counter()
         for batch in batches:
             for value in batch.column(0):
-                found = terms(set((value.as_py() or "").lower().split()))
-                seen.update(found if wanted is None else found & wanted)
+                seen.update(terms(set((value.as_py() or "").lower().split())))
                 if len(seen) > FLUSH:
                     yield pack(seen)
                     seen = Counter()
         yield pack(seen)
 
-    return slim.mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    if wanted is None:
+        return slim.mapInArrow(sparse, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    blocks = -(-len(wanted) // BLOCK)
+    return slim.mapInArrow(dense, "block long, counts binary").repartition(blocks, "block").mapInArrow(added, "term string, df long")
 
 
 def sanitise(docs: DataFrame, window: int = 5, generalise: float = 0.8, remove: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +194,7 @@ def sanitise(docs: DataFrame, window: int = 5, generalise: float = 0.8, remove:
     pair = near.groupBy("entity", "term").agg(F.countDistinct("rid").alias("both"))
     names = near.select("term").distinct()
     wanted = [r[0] for r in names.limit(SENT_TERMS + 1).collect()]
-    df = checkpoint(term_frequencies(docs, set(wanted) if len(wanted) <= SENT_TERMS else None, text_col)) if wanted else names.withColumn("df", F.lit(1).cast("long"))
+    df = checkpoint(term_frequencies(docs, sorted(wanted) if len(wanted) <= SENT_TERMS else None, text_col)) if wanted else names.withColumn("df", F.lit(1).cast("long"))
     entity = near.groupBy("entity").agg(F.countDistinct("rid").alias("de"))
     n = F.lit(float(max(total, 2)))
     share = F.log2(F.col("both") * n / (F.col("de") * F.col("df"))) / F.greatest(F.log2(n / F.col("de")), F.lit(1e-9))
