@@ -119,7 +119,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: s
     return rows.join(member.join(group, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def simhash_dedup(docs: DataFrame, words: int = 5, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_dedup(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the least doc_id.
 
     Of repeated rows with that doc_id one stays. Documents with a null doc_id
