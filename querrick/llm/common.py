@@ -41,13 +41,31 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder: it outlives lost executors and cuts lineage."""
+#: Rows of a kept table for each file, where their number is known: small tables are not spread over a cluster's partitions.
+ROWS_A_FILE = 100_000
+
+
+def kept(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, str]:
+    """``df`` computed once and written as Parquet in the shared folder, and where: it outlives lost executors and cuts lineage.
+
+    Partitions without rows leave no file, and readers put small files together;
+    of at most ``rows`` rows, if that is known, as many files are written as they need.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = fresh_dir(spark, "kept")
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``kept`` for tables that stay as long as the job."""
+    return kept(df, rows)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a kept table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -63,7 +81,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     joined (which adaptive execution can split), never gathered. Nodes without
     links are not returned. Self links and repeated links are harmless.
     """
-    now = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now, place = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     seen = mark(now)
     if not seen[0]:
@@ -74,7 +92,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        last = place
+        now, place = kept(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), 2 * seen[0])
+        forget(now.sparkSession, last)
         was, seen = seen, mark(now)
         if was == seen:
             roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))

@@ -64,10 +64,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     rest = [c for c in docs.columns if c not in own]
     sized = docs.select(*rest, source_key(F.col(source_col)).alias("__key"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__md5"), word_count(F.col(text_col)).alias("size"))
     sized = sized.withColumn("__cls", F.expr("cast(length(bin(size)) * 64 + shiftright(size, greatest(length(bin(size)) - 6, 0)) as int)"))
-    fine = checkpoint(sized.groupBy(F.col("__key").alias("key"), F.col("__cls").alias("cls"), F.substring("__md5", 1, 3).alias("hex")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
-    total = fine.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = docs.count()
     digits = next((d for d in range(3) if total <= ROWS_A_PART * 16**d), 3)
-    parts = fine.groupBy("key", "cls", F.substring("hex", 1, digits).alias("hex")).agg(F.sum("n").alias("n"))
+    fine = sized.groupBy(F.col("__key").alias("key"), F.col("__cls").alias("cls"), F.substring("__md5", 1, digits).alias("hex")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    fine = checkpoint(fine, total)
+    parts = fine.select("key", "cls", "hex", "n")
     upto = Window.partitionBy("key").orderBy("cls", "hex").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     table = parts.join(plan(fine.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, cap, seed), "key")

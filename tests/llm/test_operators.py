@@ -145,7 +145,7 @@ def test_warc(spark, tmp_path):
     long = "é" * 600
     rows = [(1, "http://a/", long), (2, None, long), (3, "http://b/\r\nX: y", "short"), (4, "u", "short"), (5, "u", None), (None, "n", long), (2, "again", long), (9, "big", "z" * 3_000_000)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    archives = warc.write_archives(table, str(tmp_path / "out"), roll_bytes=700)
+    archives = warc.write_archives(table, str(tmp_path / "out"), roll_bytes=300)
     assert archives.count() > 3
     got = warc.read_archives(archives).collect()
     assert len(got) == len(rows)
