@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..fixed import BM25_B, BM25_K1
 
@@ -129,6 +130,7 @@ def nearest(queries: DataFrame, rows: DataFrame, vector: str, key: str, limit: i
     id_type = dict(queries.dtypes)["query_id"]
     row_type = dict(own.dtypes)["id"]
     kind = f"query_id {id_type}, id {row_type}, raw_score double"
+    arrow_type = to_arrow_type(queries.schema["query_id"].dataType)
     out = None
     for ids, block in query_blocks(queries, query_vector):
 
@@ -147,7 +149,7 @@ def nearest(queries: DataFrame, rows: DataFrame, vector: str, key: str, limit: i
                     at.append(some)
                     score.append(d[some])
                     who.append(np.full(len(some), n))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(who)]), names.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(score))], names=["query_id", "id", "raw_score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(who)].tolist(), arrow_type), names.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(score))], names=["query_id", "id", "raw_score"])
 
         part = own.mapInArrow(run, kind)
         out = part if out is None else out.unionByName(part)

@@ -85,7 +85,7 @@ def with_texts(listing: DataFrame, root: str) -> DataFrame:
 
     from pyspark.sql.types import StringType, StructType
 
-    schema = StructType(listing.schema.fields).add("content", StringType())
+    schema = StructType(list(listing.schema.fields)).add("content", StringType())
     return listing.mapInPandas(read, schema).where("content is not null").drop("hash").withColumn("hash", F.sha2("content", 256))
 
 
