@@ -96,19 +96,19 @@ class Finder:
         out = []
         for n, found in spans.items():
             best: tuple[int, int] | None = None
-            low, high = found[0]
             length = len(self.items[n][1])
             # windows that overlap are searched as one; hits come in order of their ends, so windows of an item may step back by an item's length
             found.sort()
-            low, high = found[0]
-            for a, b in [*found[1:], (len(text) + 1, len(text) + 1)]:
-                if a <= high and b - low <= 4 * length:
-                    high = max(high, b)
-                    continue
+            spots: list[tuple[int, int]] = []
+            for a, b in found:
+                if spots and a <= spots[-1][1] and b - spots[-1][0] <= 4 * length:
+                    spots[-1] = spots[-1][0], max(spots[-1][1], b)
+                else:
+                    spots.append((a, b))
+            for low, high in spots:
                 got = myers(self.peq[n], length, text[low:high], self.errors[n])
                 if got and (best is None or got[0] < best[0]):
                     best = got[0], low + got[1]
-                low, high = a, b
             if best:
                 out.append((self.items[n][0], *best))
         return sorted(out)
