@@ -119,6 +119,16 @@ def analyse(path: str, text: str, most: int = MAX_CHUNK_CHARS) -> Iterator[dict]
     yield base | {"entity": "file", "ord": 0, "docstring": top_level_doc(text, language, ext), "imports": unique(imports), "exports": exports, "status": status}
 
 
+def chunk_file(path: str, text: str, most: int = MAX_CHUNK_CHARS) -> list[dict]:
+    """The chunks of one file by itself: its definitions in pieces, or the file as pieces if it has none."""
+    rows = list(analyse(path, text, most))
+    found = [r | {"entity": "chunk"} for r in rows if r["entity"] == "symbol" and len(r["code_text"]) < OWNED_CHUNK_CHARS] + [r for r in rows if r["entity"] == "chunk"]
+    if found or not text:
+        return sorted(found, key=lambda r: (r["start_line"], r["end_line"]))
+    pieces = merge_small(by_lines(text.split("\n"), 1, most), most)
+    return [facts(None, p.text, 0, len(p.text)) | {"entity": "chunk", "kind": "module", "name": None, "file_path": path, "start_line": p.start, "end_line": p.end, "context_header": header(path), "code_text": p.text, "is_exported": True} for p in pieces]
+
+
 def extracted(files: DataFrame, most: int = MAX_CHUNK_CHARS, path: str = "file_path", content: str = "content") -> DataFrame:
     """Tagged rows (TAGGED) of all files. A file is read and parsed once; one that breaks the parser gives pieces by lines."""
     from pyspark.sql.types import StructType

@@ -58,6 +58,44 @@ class HashEmbedder:
         return (unit / np.where(size > 0, size, 1)).tolist()
 
 
+def mean_pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit vectors from token states: the mean over the tokens that the mask has."""
+    weights = mask[..., None].astype(np.float64)
+    mean = (states * weights).sum(axis=1) / np.maximum(weights.sum(axis=1), 1e-9)
+    return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+
+
+class OnnxEmbedder:
+    """A local transformer from two files that every worker can read: mean pooling, unit length. The session starts once a worker."""
+
+    batch = 8
+
+    def __init__(self, model: str, tokenizer: str, dimensions: int, longest: int = 512) -> None:
+        self.model, self.tokenizer, self.dimensions, self.longest = model, tokenizer, dimensions, longest
+        self._session = self._tokens = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_session": None, "_tokens": None}
+
+    def start(self) -> None:
+        if self._session is None:
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            self._session = onnxruntime.InferenceSession(self.model, providers=["CPUExecutionProvider"])
+            self._tokens = Tokenizer.from_file(self.tokenizer)
+            self._tokens.enable_truncation(self.longest)
+            self._tokens.enable_padding()
+
+    def embed(self, texts: Sequence[str]) -> list[list[float] | None]:
+        self.start()
+        coded = self._tokens.encode_batch(list(texts))
+        fields = {"input_ids": [c.ids for c in coded], "attention_mask": [c.attention_mask for c in coded], "token_type_ids": [c.type_ids for c in coded]}
+        wanted = {i.name for i in self._session.get_inputs()}
+        inputs = {n: np.array(v, dtype=np.int64) for n, v in fields.items() if n in wanted}
+        return mean_pooled(self._session.run(None, inputs)[0], np.array(fields["attention_mask"])).tolist()
+
+
 # What errors of providers say.
 RATE_LIMIT_SIGNS = ("429", "rate limit", "rate_limit", "too many requests", "quota")
 TRANSIENT_SIGNS = ("500", "502", "503", "504", "timeout", "timed out", "econnreset", "network", "overloaded", "unavailable")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import threading
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -83,21 +83,25 @@ class Watcher:
     """
 
     def __init__(self, apply: Callable[[DataFrame], object]) -> None:
-        self.apply, self.paused = apply, threading.Event()
+        self.apply, self.until = apply, 0.0
         self.pending: set[str] = set()
         self.stats = {"batches": 0, "events": 0, "paths": 0, "deferred": 0, "failures": 0}
 
-    def pause(self) -> None:
-        self.paused.set()
+    def pause(self, seconds: float = float("inf")) -> None:
+        """Rests for so long, or for what is left of an earlier pause if that is longer."""
+        self.until = max(self.until, time.monotonic() + seconds)
 
     def resume(self) -> None:
-        self.paused.clear()
+        self.until = 0.0
+
+    def is_paused(self) -> bool:
+        return time.monotonic() < self.until
 
     def on_batch(self, events: DataFrame, batch_id: int) -> None:
         paths = events.select("path").distinct()
         told = {r["path"] for r in paths.toLocalIterator()}
         self.stats["events"] += events.count()
-        if self.paused.is_set():
+        if self.is_paused():
             self.pending |= told
             self.stats["deferred"] += len(told)
             return
