@@ -58,16 +58,15 @@ BINARY_EXTENSIONS = (
     ".zip", ".tar", ".gz", ".bz2", ".7z", ".rar",
     ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx",
     ".exe", ".dll", ".so", ".dylib", ".bin",
-    ".woff", ".woff2", ".ttf", ".otf", ".eot",
+    ".ttf", ".otf", ".woff", ".woff2", ".eot",
     ".wasm", ".node", ".pyc", ".pyo", ".class", ".o", ".a",
 )
 BINARY_PROBE_BYTES = 8192
 
 # Languages by extension, for parsing and as a hint.
 LANGUAGES = {
-    ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".js": "javascript", ".mjs": "javascript",
-    ".cjs": "javascript", ".py": "python", ".go": "go", ".rs": "rust", ".java": "java", ".cs": "csharp", ".dart": "dart",
-    ".swift": "swift", ".kt": "kotlin", ".kts": "kotlin", ".php": "php",
+    ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx",
+    ".py": "python", ".go": "go", ".rs": "rust", ".java": "java", ".cs": "csharp", ".dart": "dart", ".swift": "swift", ".kt": "kotlin", ".kts": "kotlin", ".php": "php",
 }
 MARKDOWN_EXTENSIONS = (".md", ".mdx", ".markdown")
 
@@ -104,5 +103,8 @@ EVAL_BUCKETS = {"definition": (25, 10), "concept": (20, 50), "exact_text": (20,
 # Changes of files (milliseconds).
 DEBOUNCE_MS, BATCH_MS = 500, 2000
 
-# Retries of embedding providers and what their errors say.
+# What errors of embedding providers say (one of the groups, all words of it), and their retries.
+RATE_LIMIT_SIGNS = (("429",), ("rate",), ("quota",))
+TRANSIENT_SIGNS = (("api key expired", "400"), ("api key expired", "invalid_argument"))
+TOO_LONG_SIGNS = (("maximum context length",), ("context length", "token"), ("exceeding max", "token"), ("exceeds max", "token"), ("maximum number of tokens",), ("input token count",))
 RETRIES, FIRST_DELAY_S, MOST_DELAY_S = 10, 1.0, 60.0

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed import FIRST_DELAY_S, MOST_DELAY_S, RETRIES
+from ..fixed import FIRST_DELAY_S, MOST_DELAY_S, RATE_LIMIT_SIGNS, RETRIES, TOO_LONG_SIGNS, TRANSIENT_SIGNS
 
 T = TypeVar("T")
 
@@ -96,15 +96,9 @@ class OnnxEmbedder:
         return mean_pooled(self._session.run(None, inputs)[0], np.array(fields["attention_mask"])).tolist()
 
 
-# What errors of providers say.
-RATE_LIMIT_SIGNS = ("429", "rate limit", "rate_limit", "too many requests", "quota")
-TRANSIENT_SIGNS = ("500", "502", "503", "504", "timeout", "timed out", "econnreset", "network", "overloaded", "unavailable")
-TOO_LONG_SIGNS = ("context length", "context_length", "maximum context", "too many tokens", "token limit")
-
-
-def _says(error: BaseException, signs: tuple[str, ...]) -> bool:
+def _says(error: BaseException, signs: tuple[tuple[str, ...], ...]) -> bool:
     said = str(error).lower()
-    return any(s in said for s in signs)
+    return any(all(word in said for word in group) for group in signs)
 
 
 def is_rate_limit(error: BaseException) -> bool:
@@ -116,6 +110,7 @@ def is_too_long(error: BaseException) -> bool:
 
 
 def is_transient(error: BaseException) -> bool:
+    """Whether another try may help."""
     return not is_too_long(error) and (is_rate_limit(error) or _says(error, TRANSIENT_SIGNS))
 
 

@@ -42,9 +42,9 @@ def _scoped(c: Corpus, **parts: tuple[str, ...]) -> DataFrame:
     return Scope(**parts).apply(c.files).select(*FILE_COLUMNS)
 
 
-@query(SELECT_FILES + "starts_with(file_path, 'src/web') OR starts_with(file_path, 'src/news')")
+@query(SELECT_FILES + "starts_with(file_path, 'src/src1/') OR starts_with(file_path, 'src/src0/de')")
 def scope_prefix_or(c: Corpus) -> DataFrame:
-    return _scoped(c, path_prefix=("src/web", "src/news"))
+    return _scoped(c, path_prefix=("src/src1/", "src/src0/de"))
 
 
 @query(SELECT_FILES + "contains(file_path, '/en/') AND contains(file_path, 'doc_1')")

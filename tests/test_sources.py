@@ -111,7 +111,7 @@ def test_retry():
         return "ok"
 
     assert embedding.with_retry(flaky, sleep=waits.append) == "ok" and waits == [1.0, 2.0, 4.0]
-    for message, times in (("maximum context length", 1), ("bad request", 1), ("503", 10)):
+    for message, times in (("maximum context length", 1), ("bad request", 1), ("quota exceeded", 10), ("400 API key expired", 10), ("API key expired", 1), ("rate: exceeds max tokens", 1)):
         calls = []
 
         def fail(message=message, calls=calls):
