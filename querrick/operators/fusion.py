@@ -113,7 +113,7 @@ def dedupe_usages(candidates: DataFrame, refs: DataFrame) -> DataFrame:
     The row that was found by its qualified name, or whose token has a dot, is
     preferred, then the first. ``refs`` gives places and kinds by ``id``.
     """
-    rows = candidates.join(refs.select(F.col("ref_id").alias("id"), "file_path", "ref_kind", "start_line", F.coalesce("start_byte", "start_line").alias("__s"), F.coalesce("end_byte", "end_line").alias("__e"), "token_texts"), "id")
+    rows = refs.select(F.col("ref_id").alias("id"), "file_path", "ref_kind", "start_line", F.coalesce("start_byte", "start_line").alias("__s"), F.coalesce("end_byte", "end_line").alias("__e"), "token_texts").join(candidates, "id")
     preferred = (F.col("source") == "refs.token_texts_qualified") | F.exists("token_texts", lambda t: t.contains("."))
     order = Window.partitionBy("query_id", "file_path", "__s", "__e", "ref_kind").orderBy(F.col("__preferred").desc(), "nth", "rank", "id")
     chosen = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

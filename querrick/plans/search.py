@@ -22,6 +22,15 @@ Tables = Mapping[str, DataFrame]
 HIT = ("query_id", "grp", "pos", "table", "id", "file_path", "start_line", "end_line", "title", "snippet", "score", "channels", "priors")
 
 
+#: Candidates that may be sent to every executor; more are joined by id.
+MAX_SENT = 100_000
+
+
+def sent(rows: DataFrame, queries: DataFrame, each: int) -> DataFrame:
+    """``rows``, of which there are ``each`` a query at most, to be broadcast if the queries are few enough: so the tables they join are not shuffled."""
+    return F.broadcast(rows) if queries.limit(MAX_SENT // each + 1).count() * each <= MAX_SENT else rows
+
+
 def terms(queries: DataFrame, tokens: Column) -> DataFrame:
     return queries.select("query_id", tokens.alias("terms"))
 
@@ -54,11 +63,11 @@ def attributes(tables: Tables, names: list[str]) -> DataFrame:
     return done
 
 
-def _ranked(tables: Tables, queries: DataFrame, channels: list[DataFrame], intent: str, group: str, k: int, **priors: bool) -> DataFrame:
-    """Fusion, priors and diversity; attributes join the few candidates only after the channels' limits."""
+def _ranked(tables: Tables, queries: DataFrame, channels: list[DataFrame], limit: int, intent: str, group: str, k: int, **priors: bool) -> DataFrame:
+    """Fusion, priors and diversity; attributes join the few candidates (``limit`` a channel) only after the channels' limits."""
     names = [n for n in ("symbols", "chunks", "files") if any(n in c for c in group.split("+"))]
-    merged = fusion.merge(channels, intent)
-    shown = merged.join(attributes(tables, names), ["table", "id"]).join(queries.select("query_id", "query"), "query_id")
+    merged = sent(fusion.merge(channels, intent), queries, limit * len(channels))
+    shown = attributes(tables, names).join(merged, ["table", "id"]).join(queries.select("query_id", "query"), "query_id")
     best = fusion.diversify(fusion.with_priors(shown, intent, **priors), k)
     label = {"symbols": "definitions", "files": "files"}.get(group, "blocks")
     return best.withColumn("grp", F.lit(label)).select(*HIT)
@@ -78,7 +87,7 @@ def definitions(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope |
     ]
     if "vector" in queries.columns and "vec_summary" in symbols.columns:
         channels.append(nearest(queries, symbols, "vec_summary", "symbol_id", n, "symbols.vec_summary", keep))
-    return _ranked(tables, queries, channels, "definition", "symbols", k, export=True)
+    return _ranked(tables, queries, channels, n, "definition", "symbols", k, export=True)
 
 
 def files(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope | None = None) -> DataFrame:
@@ -87,7 +96,7 @@ def files(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope | None =
     channels = [bm25(terms(queries, simple_tokens(F.col("query"))), rows, simple_tokens(F.col("file_summary_text")), "file_id", n, "files.fts", keep)]
     if "vector" in queries.columns and "vec_file" in rows.columns:
         channels.append(nearest(queries, rows, "vec_file", "file_id", n, "files.vec_file", keep))
-    return _ranked(tables, queries, channels, "concept", "files", k, lexical=False)
+    return _ranked(tables, queries, channels, n, "concept", "files", k, lexical=False)
 
 
 def blocks(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope | None = None) -> DataFrame:
@@ -99,7 +108,7 @@ def blocks(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope | None
     ]
     if "vector" in queries.columns and "vec_code" in rows.columns:
         channels.append(nearest(queries, rows, "vec_code", "chunk_id", n, "chunks.vec_code", keep))
-    return _ranked(tables, queries, channels, "concept", "chunks", k, lexical=False)
+    return _ranked(tables, queries, channels, n, "concept", "chunks", k, lexical=False)
 
 
 def concept(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope | None = None) -> DataFrame:
@@ -115,7 +124,7 @@ def exact_text(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope | N
     key = {"chunks": "chunk_id", "symbols": "symbol_id"}
     channels = [bm25(asked, tables[t], literal_tokens("string_literals"), key[t], n, f"{t}.string_literals", keep) for t in ("chunks", "symbols")]
     channels += [bm25(asked, tables[t], simple_tokens(F.col("code_text"), None), key[t], n, f"{t}.code_text", keep) for t in ("chunks", "symbols")]
-    return _ranked(tables, queries, channels, "exact_text", "symbols+chunks", k, tests=False, lexical=False)
+    return _ranked(tables, queries, channels, n, "exact_text", "symbols+chunks", k, tests=False, lexical=False)
 
 
 def similar_code(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope | None = None) -> DataFrame:
@@ -131,12 +140,12 @@ def similar_code(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope |
         bm25(asked, tables["chunks"], simple_tokens(F.col("search_text")), "chunk_id", n, "chunks.search_text", keep),
         bm25(asked, tables["symbols"], simple_tokens(F.col("search_text")), "symbol_id", n, "symbols.search_text", keep),
     ]
-    return _ranked(tables, queries, channels, "similar_code", "symbols+chunks", k)
+    return _ranked(tables, queries, channels, n, "similar_code", "symbols+chunks", k)
 
 
 def _usage_rows(refs: DataFrame, merged: DataFrame, asked: DataFrame) -> DataFrame:
     """Merged usages with their attributes; ``token_text`` is the token that the query names, else one that contains it, else the first."""
-    rows = merged.join(refs.select(F.col("ref_id").alias("id"), "file_path", "start_line", "end_line", "ref_kind", "token_texts", "context_snippet"), "id").join(asked, "query_id")
+    rows = refs.select(F.col("ref_id").alias("id"), "file_path", "start_line", "end_line", "ref_kind", "token_texts", "context_snippet").join(merged, "id").join(asked, "query_id")
     low = F.lower("needle")
     same = F.filter("token_texts", lambda t: F.lower(t) == low)
     within = F.filter("token_texts", lambda t: F.lower(t).contains(low))
@@ -153,8 +162,8 @@ def usages(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope | None
     enough = named.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
     bare = token_match(asked.join(enough, "query_id", "left_anti"), refs, "token_texts", "ref_id", n, "refs.token_texts", "base", keep)
     both = named.withColumn("nth", F.lit(0)).unionByName(bare.withColumn("nth", F.lit(1)))
-    one = fusion.dedupe_usages(both, refs)
-    merged = fusion.merge([one.where(F.col("nth") == i).drop("nth") for i in (0, 1)], "usage")
+    one = fusion.dedupe_usages(sent(both, queries, 2 * n), refs)
+    merged = sent(fusion.merge([one.where(F.col("nth") == i).drop("nth") for i in (0, 1)], "usage"), queries, 2 * n)
     rows = _usage_rows(refs, merged, asked.select("query_id", "query", F.coalesce("qualified", "base").alias("needle")))
     best = fusion.diversify(fusion.with_priors(rows, "usage", lexical=False), k)
     return best.withColumn("grp", F.lit("usages")).select(*HIT)
@@ -168,7 +177,7 @@ def find_usages(tables: Tables, names: DataFrame, k: int = 200, scope: Scope | N
     refs, keep, n = tables["refs"], (scope or Scope()).flag(), oversample("all_usages", k)
     asked = names.select("query_id", F.col("symbol_name").alias("needle"))
     found = token_match(asked, refs, "token_texts", "ref_id", n, "refs.token_texts", "needle", keep)
-    rows = _usage_rows(refs, fusion.merge([found], "usage"), asked)
+    rows = _usage_rows(refs, sent(fusion.merge([found], "usage"), names, n), asked)
     rows = fusion.prefer_exact(fusion.diversify(fusion.with_priors(rows, "usage", lexical=False), None))
     from pyspark.sql import Window
 
