@@ -127,7 +127,8 @@ def simhash_dedup(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: st
     """
     groups = simhash_groups(docs, words, max_bits, id_col, text_col)
     kept = checkpoint(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count(F.lit(1)).alias("__n")))
-    out = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
+    # always by sort and merge: ids grow with the documents, so that small inputs would be planned as large ones can't be
+    out = docs.join(kept.hint("merge"), docs[id_col].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
     if kept.where((F.col("__n") > 1) | F.col("__kept_id").isNull()).limit(1).count():
         out = out.dropDuplicates([id_col])
     return out
