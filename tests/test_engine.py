@@ -6,6 +6,7 @@ import pytest
 
 from querrick.operators.embedding import HashEmbedder
 from querrick.operators.scope import Scope
+from querrick.plans import search as plans
 from querrick.plans.engine import Engine, bounded, evaluation_queries, fit, report, safe_path
 from querrick.plans.indexing import Incompatible, Indexer
 from querrick.sources.store import Store
@@ -65,6 +66,18 @@ def test_index_and_search(built):
     assert lone["warnings"] == ["embeddings_unavailable"] and names(lone["groups"]["definitions"])[0] == "login"
 
 
+def test_routed_batch(built, spark):
+    store = built[1]
+    single = Engine(store)
+    asks = ["add_numbers(", "where is `login` used", '"no such status code"']
+    rows = plans.search(single.tables(), spark.createDataFrame([(i, q) for i, q in enumerate(asks)], "query_id int, query string"), 5).collect()
+    for n, q in enumerate(asks):
+        alone = single.search(q, k=5)
+        want = [(h["id"], g) for g, hits in alone["groups"].items() for h in hits]
+        got = [(r["id"], r["grp"]) for r in sorted((r for r in rows if r["query_id"] == n), key=lambda r: (r["grp"], r["pos"]))]
+        assert got == want and want and {r["intent"] for r in rows if r["query_id"] == n} == {alone["intent"]}
+
+
 def test_lookups(built):
     root, store, _, _, engine = built
     symbol = engine.search("fetch_data", "definition", 1)["groups"]["definitions"][0]["id"]
