@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querrick.llm import decontam, mixing, quality, sharding, simhash
+from querrick.llm import decontam, mixing, neardup, quality, sharding
 from querrick.llm.common import fresh_dir
 
 
@@ -21,8 +21,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicate fingerprints."""
-    return simhash.simhash_dedup(docs, words=3, max_bits=3)
+    """One document of each group of near-duplicates: fingerprints of 3 words within 3 bits, or Jaccard 0.8 of 5-word shingles."""
+    return neardup.near_dedup(docs, words=3, max_bits=3, shingle=5, least=0.8)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,7 +125,11 @@ def simhash_dedup(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: st
     Of repeated rows with that doc_id one stays. Documents with a null doc_id
     stay only if no other of the group has one; of those, one stays.
     """
-    groups = simhash_groups(docs, words, max_bits, id_col, text_col)
+    return one_of_each(docs, simhash_groups(docs, words, max_bits, id_col, text_col), id_col)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with one row of each of the ``groups`` ``(doc_id, component_id)``, as ``simhash_dedup`` says."""
     kept = checkpoint(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count(F.lit(1)).alias("__n")))
     # always by sort and merge: ids grow with the documents, so that small inputs would be planned as large ones can't be
     out = docs.join(kept.hint("merge"), docs[id_col].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
