@@ -67,7 +67,7 @@ def myers(peq: dict[str, int], length: int, text: str, limit: int) -> tuple[int,
 class Finder:
     """Items of a benchmark, ready to be found in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], rate: float) -> None:
         self.rate = rate
         self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
         self.peq = [masks(t) for _, t in self.items]
@@ -82,7 +82,7 @@ class Finder:
         if where:
             self.automaton.make_automaton()
 
-    def find(self, text: str | None) -> list[tuple[int, int, int]]:
+    def find(self, text: str | None) -> list[tuple[int | None, int, int]]:
         """``(item_id, edits, end)`` of the items in the text, with the least edits and where that match ends in the normalised text."""
         if not self.items:
             return []
@@ -111,13 +111,13 @@ class Finder:
                     best = got[0], low + got[1]
             if best:
                 out.append((self.items[n][0], *best))
-        return sorted(out)
+        return sorted(out, key=lambda m: (m[0] is not None, m[0] or 0, m[1:]))
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark in blocks of at most BLOCK_CHARS characters, or one item."""
     block, size = [], 0
-    for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(f"{id_col} is not null and {text_col} is not null").distinct().orderBy(id_col, text_col).toLocalIterator():
+    for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(f"{text_col} is not null").distinct().orderBy(id_col, text_col).toLocalIterator():
         if block and size + len(row[1]) > BLOCK_CHARS:
             yield block
             block, size = [], 0
@@ -138,7 +138,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: s
     in blocks of BLOCK_CHARS characters, each over all rows.
 
     Null and empty texts and items match nothing; items of one id are looked for
-    each, with a result each; repeated rows are documents of their own; an
+    each, with a result each, and so are items without an id, with a null
+    ``item_id`` in the result; repeated rows are documents of their own; an
     empty table gives no rows. A column named ``found`` is replaced.
     """
     rest = [c for c in docs.columns if c != "found"]
@@ -152,7 +153,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: s
     return out.select(*rest, F.col("__found").alias("found"))
 
 
-def _search(items: list[tuple[int, str]], rate: float, kind: str):  # noqa: ANN202
+def _search(items: list[tuple[int | None, str]], rate: float, kind: str):  # noqa: ANN202
     from pyspark.sql.functions import arrow_udf
 
     shape = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("end", pa.int64())]))
