@@ -99,19 +99,35 @@ def context(text: str, spans: list[tuple[int, int, int]], window: int) -> list[t
     return out
 
 
+def spread(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """``(term, start, end)`` of all words of the text, but for words that touch a span."""
+    taken, out, at = sorted((s, e) for _, s, e in spans), [], 0
+    for m in re.finditer(r"\S+", text):
+        s, e = m.span()
+        while at < len(taken) and taken[at][1] <= s:
+            at += 1
+        piece = m[0]
+        term = piece.lower().strip(STRIP)
+        if len(term) > 2 and not any(a < e and s < b for a, b in taken[at : at + 1]):
+            out.append((term, s + len(piece) - len(piece.lstrip(STRIP)), s + len(piece.rstrip(STRIP))))
+    return out
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
 def find(docs: DataFrame, window: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row of ``docs``: ``rid`` (its place in the input), ``doc_id``, counts by kind, ``base`` (spans), ``near`` (context terms)."""
+    """A row of ``docs``: ``rid`` (its place in the input), ``doc_id``, counts by kind, ``base`` (spans), ``near`` (context terms), ``entities`` and, where there are any, ``spread`` (all words)."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    place = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            counts, base, near = [], [], []
+            counts, base, near, held, all_words = [], [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 spans = base_spans(text)
@@ -119,14 +135,16 @@ def find(docs: DataFrame, window: int = 5, id_col: str = "doc_id", text_col: str
                 counts.append([tally[k] for k in range(4)])
                 base.append(joined(spans))
                 near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in context(text, spans, window)] if spans else [])
+                held.append(sorted({f"{KINDS[k]}:{text[s:e].lower()}" for k, s, e in spans}))
+                all_words.append([dict(zip(("term", "start", "end"), x, strict=True)) for x in spread(text, spans)] if spans else [])
             by = list(zip(*counts, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(rid, rid + batch.num_rows), pa.int64()), batch.column(0), *(pa.array(c, pa.int64()) for c in by), pa.array(base, pa.string()), pa.array(near, kind)],
-                names=["rid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near"],
+                [pa.array(range(rid, rid + batch.num_rows), pa.int64()), batch.column(0), *(pa.array(c, pa.int64()) for c in by), pa.array(base, pa.string()), pa.array(near, kind), pa.array(held, pa.list_(pa.string())), pa.array(all_words, place)],
+                names=["rid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near", "entities", "spread"],
             )
             rid += batch.num_rows
 
-    return slim.mapInArrow(run, "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string,start:long,end:long>>")
+    return slim.mapInArrow(run, "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string,start:long,end:long>>, entities array<string>, spread array<struct<term:string,start:long,end:long>>")
 
 
 def term_frequencies(docs: DataFrame, wanted: list[str] | None, text_col: str = "text") -> DataFrame:
@@ -178,11 +196,13 @@ def term_frequencies(docs: DataFrame, wanted: list[str] | None, text_col: str =
 def sanitise(docs: DataFrame, window: int = 5, generalise: float = 0.8, remove: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row of ``docs``: ``doc_id``, counts by kind, ``base`` (base spans as a string) and ``found``: all spans with kind, start, end and action.
 
-    Of the terms within ``window`` words of an entity, those that disclose at
-    least ``generalise`` of its information are generalised, and from ``remove``
-    on removed; entities themselves are removed. Documents without an entity are
+    Of the terms of an entity's documents, those that disclose at least
+    ``generalise`` of its information are generalised, and from ``remove`` on
+    removed, wherever they stand in a document that holds the entity; entities
+    themselves are removed. Terms that share one document only with the entity
+    (most rare words do, by chance) must stand within ``window`` words of it. Documents without an entity are
     left alone. Document frequencies cover all documents: candidates (terms
-    near entities) are few and sent to the executors up to SENT_TERMS, beyond
+    of such pairs) are few and sent to the executors up to SENT_TERMS, beyond
     which all terms are counted and joined.
 
     Null texts are empty; repeated rows count as documents of their own; a null
@@ -190,16 +210,23 @@ def sanitise(docs: DataFrame, window: int = 5, generalise: float = 0.8, remove:
     """
     rows = checkpoint(find(docs, window, id_col, text_col))
     total = rows.count()
-    near = rows.select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    pair = near.groupBy("entity", "term").agg(F.countDistinct("rid").alias("both"))
-    names = near.select("term").distinct()
+    holds = rows.select("rid", F.explode("entities").alias("entity"))
+    entity = checkpoint(holds.groupBy("entity").agg(F.count(F.lit(1)).alias("de")))
+    near = rows.select("rid", F.explode("near").alias("x")).select("rid", "x.entity", "x.term", F.lit(1).alias("close"))
+    # an entity of one document has no pair of two
+    often = holds.join(entity.where("de > 1").select("entity"), "entity", "left_semi")
+    bags = rows.where(F.size("entities") > 0).select("rid", F.explode(F.array_distinct(F.transform("spread", lambda x: x["term"]))).alias("term"))
+    seen = near.unionByName(often.join(bags, "rid").select("rid", "entity", "term", F.lit(0).alias("close")))
+    pair = seen.groupBy("entity", "term", "rid").agg(F.max("close").alias("close")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.max("close").alias("close"))
+    pair = checkpoint(pair.where("both > 1 or close = 1"))
+    names = pair.select("term").distinct()
     wanted = [r[0] for r in names.limit(SENT_TERMS + 1).collect()]
     df = checkpoint(term_frequencies(docs, sorted(wanted) if len(wanted) <= SENT_TERMS else None, text_col)) if wanted else names.withColumn("df", F.lit(1).cast("long"))
-    entity = near.groupBy("entity").agg(F.countDistinct("rid").alias("de"))
     n = F.lit(float(max(total, 2)))
     share = F.log2(F.col("both") * n / (F.col("de") * F.col("df"))) / F.greatest(F.log2(n / F.col("de")), F.lit(1e-9))
     told = pair.join(df, "term").join(entity, "entity").select("entity", "term", share.alias("disclosed")).where(F.col("disclosed") >= generalise)
-    spans = near.join(told, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("disclosed").alias("d"))
+    places = rows.where(F.size("entities") > 0).select("rid", F.explode("spread").alias("x")).select("rid", "x.*")
+    spans = places.join(holds.join(told, "entity").groupBy("rid", "term").agg(F.max("disclosed").alias("d")), ["rid", "term"])
     spans = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.when(F.col("d") >= remove, "remove").otherwise("generalise").alias("action")))).alias("found_terms"))
     return rows.join(spans, "rid", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.coalesce("found_terms", F.array().cast("array<struct<start:long,end:long,action:string>>")).alias("found_terms"))
 
