@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_value, checkpoint, components
-from .simhash import fingerprint, one_of_each, similar_fingerprints
+from .simhash import fingerprint, id_type, one_of_each, similar_fingerprints, text_hash
 
 by_value(__name__)
 
@@ -97,100 +97,121 @@ def prefixes(slim: DataFrame, words: int, least: float) -> DataFrame:
     return slim.select("node", "text").mapInArrow(run, "shingle long, node long, n int, pos int")
 
 
-def verified(slim: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """The ``pairs`` ``(a, b)`` of nodes whose texts have that Jaccard similarity."""
-    pairs = checkpoint(pairs.distinct())
+def shared_lists(slim: DataFrame, words: int, least: float) -> DataFrame:
+    """The ``prefixes`` of shingles that more than one text has, each place once; kept."""
+    places = checkpoint(prefixes(slim, words, least).distinct())
+    often = places.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("shingle")
+    return checkpoint(places.join(often, "shingle", "left_semi"))
+
+
+def shingle_sets(slim: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``(node, held)``: the sorted shingles of the texts of ``nodes``, each text once; kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
+                fresh = [i for i, n in enumerate(some.column(0).to_pylist()) if n not in seen and not seen.add(n)]
+                some = some.take(pa.array(fresh, pa.int64()))
                 sets = [shingles(t.as_py(), words).view(np.int64) for t in some.column(1)]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, np.concatenate(sets))], names=["node", "held"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, np.concatenate(sets) if sets else np.empty(0, dtype=np.int64))], names=["node", "held"])
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = slim.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = checkpoint(texts.mapInArrow(run, "node long, held array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+    # texts stay where they are read: only their nodes meet, and copies are told apart by their node afterwards
+    own = slim.select("node", "text").join(nodes, "node", "left_semi")
+    return checkpoint(own.mapInArrow(run, "node long, held array<long>").dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` ``(a, b)`` of nodes whose texts have that Jaccard similarity."""
+    both = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return checkpoint(both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
 
 
-def may_match(a: Column, b: Column, least: float) -> Column:
-    """Whether texts that meet at these places can have the similarity: by their sizes, and by what is left behind the place."""
-    need = F.lit(least / (1 + least)) * (a["n"] + b["n"]) - 1e-9
-    return F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need
+def may_match(n: Column, pos: Column, m: Column, at: Column, least: float) -> Column:
+    """Whether texts of n and m shingles that meet at these places can have the similarity: by their sizes, and by what is left behind the place."""
+    return F.least(n - pos, m - at) >= F.lit(least / (1 + least)) * (n + m) - 1e-9
 
 
 def merged(label: DataFrame, links: DataFrame) -> DataFrame:
-    """``(node, label)`` with the labels of linked nodes made one."""
+    """``(node, label)`` with the labels of linked nodes made one; kept."""
     a = label.select(F.col("node").alias("a"), F.col("label").alias("la"))
     b = label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     root = components(links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
     return checkpoint(label.join(root.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
-def pairs_apart(lists: DataFrame, label: DataFrame, least: float) -> DataFrame:
-    """``(a, b)``: nodes of one list and of different labels that may match."""
-    near = lists.select("shingle", F.explode("x").alias("x")).select("shingle", "x.*").join(label, "node")
-    held = near.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sort_array(F.collect_list(F.struct("n", "node", "pos", "label"))).alias("x")).where("low <> high")
+def labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """The places of ``lists`` with their labels, of shingles whose texts the links so far leave apart; kept."""
+    near = checkpoint(lists.join(label, "node"))
+    apart = near.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
+    return near.join(apart, "shingle", "left_semi")
+
+
+def met(near: DataFrame, few: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``: the places ``few`` against all places ``near`` of their shingles, where labels differ and the texts may match."""
+    other = few.select("shingle", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "label")))
+    pair = near.join(other, "shingle").where((F.col("label") != F.col("o_label")) & may_match(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos"), least))
+    return pair.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+
+def pivots(near: DataFrame, seed: int) -> DataFrame:
+    """One place of each shingle, by hash."""
+    x = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "pos", "label")
+    return near.groupBy("shingle").agg(F.min(x).alias("x")).select("shingle", "x.node", "x.n", "x.pos", "x.label")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        pack = lambda s: pa.RecordBatch.from_arrays([pa.array([p[i] for p in s], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        for batch in batches:
-            for row in batch.column(0):
-                n, node, pos, own = (row.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                for i in range(len(n) - 1):
-                    end = np.searchsorted(n, n[i] / least + 1e-9, "right")
-                    j = slice(i + 1, end)
-                    ok = (own[j] != own[i]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least / (1 + least) * (n[i] + n[j]) - 1e-9)
-                    seen.update((min(int(node[i]), int(o)), max(int(node[i]), int(o))) for o in node[j][ok])
-                    if len(seen) > 200_000:
-                        yield pack(seen)
-                        seen = set()
-        yield pack(seen)
 
-    return held.select("x").mapInArrow(run, "a long, b long")
+def minority(near: DataFrame) -> DataFrame:
+    """The places of each shingle that do not have its most frequent label."""
+    most = near.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("x"))
+    return near.join(most.select("shingle", F.col("x.label").alias("most")), "shingle").where("label <> most").drop("most")
 
 
-def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 3, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, component_id)`` a row of ``docs``: groups linked by SimHash or by shingle Jaccard.
+def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 3, shingle: int = 5, least: float = 0.8, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, node, label, component_id)`` a row of ``docs``: groups linked by SimHash or by shingle Jaccard.
 
     Texts are linked if their fingerprints of ``words`` words differ in at most
     ``max_bits`` bits, or if their sets of ``shingle``-word shingles have a Jaccard
     similarity of ``least`` or more. Pairs of the second kind come from prefix
     filtering, which loses none, and are verified exactly. Texts that meet at a
-    shingle are first linked in a chain; only those that the links so far leave
-    apart are then compared with each other, so that a large group of near copies
-    makes no pairs by the square. Equal texts are one node; nodes and shingles
-    go by 64-bit hashes.
+    shingle are first held against one of them (a pivot, ``rounds`` times), which
+    makes a large group of near copies one label with pairs in proportion to its
+    members; then those that do not have the shingle's most frequent label
+    against the others, so that all pairs that still may matter are compared. No
+    list of a shingle is gathered: pivots and labels are aggregated, and places
+    meet in joins. Equal texts are one node; nodes and shingles go by 64-bit
+    hashes.
+
+    Null texts and texts without words are linked with each other (fingerprint
+    zero); null ids and repeated rows as in ``simhash_groups``; an empty table
+    gives no rows; other columns are ignored.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    slim = slim.withColumn("node", F.xxhash64("text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("node", text_hash(F.col("text")))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "node", "fp"])
 
-    rows = checkpoint(slim.select("doc_id", "node", "text").mapInArrow(prints, "doc_id long, node long, fp long"))
+    rows = checkpoint(slim.select("doc_id", "node", "text").mapInArrow(prints, f"doc_id {id_type(docs, id_col)}, node long, fp long"))
     nodes = rows.select("node", "fp").distinct()
     root = components(similar_fingerprints(rows.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
     label = checkpoint(nodes.join(root, "fp", "left").select("node", F.coalesce("root", "fp").alias("label")))
 
-    lists = checkpoint(prefixes(slim, shingle, least).groupBy("shingle").agg(F.sort_array(F.collect_set(F.struct("n", "node", "pos"))).alias("x")).where(F.size("x") > 1))
-    chain = lists.select(F.explode(F.arrays_zip(F.slice("x", F.lit(1), F.size("x") - 1).alias("a"), F.slice("x", F.lit(2), F.size("x") - 1).alias("b"))).alias("p")).select("p.*")
-    chain = chain.where(may_match(F.col("a"), F.col("b"), least)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    label = merged(label, verified(slim, chain, shingle, least))
-    label = merged(label, verified(slim, pairs_apart(lists, label, least), shingle, least))
+    near = labelled(shared_lists(slim, shingle, least), label)
+    sets = shingle_sets(slim, near.select("node").distinct(), shingle)
+    for turn in range(rounds):
+        label = merged(label, verified(met(near, pivots(near, turn), least), sets, least))
+        near = labelled(near.drop("label"), label)
+    label = merged(label, verified(met(near, minority(near), least), sets, least))
 
     held = rows.select("doc_id", "node").join(label, "node")
     group = held.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return held.join(group, "label").select("doc_id", "component_id")
+    return held.join(group, "label").select("doc_id", "node", "label", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:  # noqa: ANN003
-    """``docs`` with one row of each group of ``near_groups``: that of the least doc_id."""
-    return one_of_each(docs, near_groups(docs, id_col=id_col, text_col=text_col, **options), id_col)
+    """``docs`` with one row of each group of ``near_groups``: that of the least doc_id, as ``simhash_dedup`` says."""
+    return one_of_each(docs, near_groups(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
