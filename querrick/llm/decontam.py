@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from typing import Any
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from .common import by_value
+from .common import by_value, checkpoint
 
 by_value(__name__)
 
 #: Characters of benchmark items that are searched at once; a larger benchmark takes several blocks.
 BLOCK_CHARS = 4 << 20
+#: Characters below which an item is found only as a whole text.
+LEAST_CHARS = 12
 
 
 def normal(text: str | None) -> str:
@@ -65,11 +71,16 @@ def myers(peq: dict[str, int], length: int, text: str, limit: int) -> tuple[int,
 
 
 class Finder:
-    """Items of a benchmark, ready to be found in texts."""
+    """Items of a benchmark, ready to be found in texts; those of under ``least`` characters only where they are the whole text."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[Any, str]], rate: float, least: int = LEAST_CHARS) -> None:
         self.rate = rate
-        self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
+        known = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
+        self.items = [(i, t) for i, t in known if len(t) >= least]
+        self.short: dict[str, list[Any]] = {}
+        for i, t in known:
+            if len(t) < least:
+                self.short.setdefault(t, []).append(i)
         self.peq = [masks(t) for _, t in self.items]
         self.errors = [budget(len(t), rate) for _, t in self.items]
         where: dict[str, list[tuple[int, int]]] = {}
@@ -82,18 +93,18 @@ class Finder:
         if where:
             self.automaton.make_automaton()
 
-    def find(self, text: str | None) -> list[tuple[int | None, int, int]]:
+    def find(self, text: str | None) -> list[tuple[Any, int, int]]:
         """``(item_id, edits, end)`` of the items in the text, with the least edits and where that match ends in the normalised text."""
-        if not self.items:
-            return []
         text = normal(text)
+        out = [(i, 0, len(text)) for i in self.short.get(text, [])]
+        if not self.items:
+            return sorted(out, key=order)
         spans: dict[int, list[tuple[int, int]]] = {}
         for last, (size, spots) in self.automaton.iter(text):
             for n, offset in spots:
                 k = self.errors[n]
                 start = last + 1 - size - offset
                 spans.setdefault(n, []).append((max(0, start - k), start + len(self.items[n][1]) + k))
-        out = []
         for n, found in spans.items():
             best: tuple[int, int] | None = None
             length = len(self.items[n][1])
@@ -111,13 +122,19 @@ class Finder:
                     best = got[0], low + got[1]
             if best:
                 out.append((self.items[n][0], *best))
-        return sorted(out, key=lambda m: (m[0] is not None, m[0] or 0, m[1:]))
+        return sorted(out, key=order)
+
+
+def order(match: tuple[Any, int, int]) -> tuple:
+    """Results go by id, those without one first."""
+    return (False,) + match[1:] if match[0] is None else (True, *match)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[Any, str]]]:
     """The benchmark in blocks of at most BLOCK_CHARS characters, or one item."""
     block, size = [], 0
-    for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(f"{text_col} is not null").distinct().orderBy(id_col, text_col).toLocalIterator():
+    texts = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct().orderBy("i", "t")
+    for row in texts.toLocalIterator():
         if block and size + len(row[1]) > BLOCK_CHARS:
             yield block
             block, size = [], 0
@@ -127,45 +144,58 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with ``found``: an array of ``(item_id, edits, end)``, the items that the whole text holds within their budgets of edits.
 
     An item of n characters (lower case, white space collapsed, in text and item
     alike) may have ``int(rate * n)`` edits. It is cut into one piece more than
     that; a text that holds it so holds a piece exactly, which an automaton of
     all pieces finds in one pass; around each piece Myers' algorithm gives the
-    least distance. No match is missed. The benchmark is sent to the executors
-    in blocks of BLOCK_CHARS characters, each over all rows.
-
-    Null and empty texts and items match nothing; items of one id are looked for
-    each, with a result each, and so are items without an id, with a null
-    ``item_id`` in the result; repeated rows are documents of their own; an
-    empty table gives no rows. A column named ``found`` is replaced.
+    least distance. No match is missed.
+
+    The driver holds one block of BLOCK_CHARS characters of the benchmark at a
+    time. A benchmark of one block is one pass over the rows, with no shuffle. A
+    larger one takes a pass a block, each of which keeps the hashes of texts that
+    hold an item (hits are few, and one a distinct text); rows then meet all hits
+    of their text.
+
+    Null and empty texts and items match nothing. Items of under ``least``
+    characters are found only where they are the whole text: within other texts
+    they would match nearly all. Items of one id are looked for each, with a
+    result each, and so are items without an id, with a null ``item_id`` in the
+    result; equal items of one id are one; repeated rows are documents of their
+    own; an empty table gives no rows. A column named ``found`` is replaced.
     """
     rest = [c for c in docs.columns if c != "found"]
-    kind = "array<struct<item_id:long,edits:int,end:long>>"
-    out = docs.select(*rest)
-    for items in [*blocks(benchmark, item_col, item_text)]:
-        out = out.withColumn("__more", _search(items, rate, kind)(F.col(text_col).cast("string")))
-        out = out.withColumn("__found", F.concat("__found", "__more") if "__found" in out.columns else F.col("__more")).drop("__more")
-    if "__found" not in out.columns:
-        out = out.withColumn("__found", F.array().cast(kind))
-    return out.select(*rest, F.col("__found").alias("found"))
-
-
-def _search(items: list[tuple[int | None, str]], rate: float, kind: str):  # noqa: ANN202
+    kind = benchmark.select(item_col).schema[0].dataType
+    text, out, passes = F.col(text_col).cast("string"), docs.select(*rest), blocks(benchmark, item_col, item_text)
+    first, second = next(passes, None), next(passes, None)
+    none = F.array().cast(f"array<struct<item_id:{kind.simpleString()},edits:int,end:long>>")
+    if second is None:
+        return out.select(*rest, (none if first is None else _search(first, rate, least, kind)(text)).alias("found"))
+    hits = None
+    for items in chain((first, second), passes):
+        seen = docs.select(F.xxhash64(text).alias("__text"), F.hash(text).alias("__more"), _search(items, rate, least, kind)(text).alias("hits")).where(F.size("hits") > 0)
+        part = checkpoint(seen.dropDuplicates(["__text", "__more"]))
+        hits = part if hits is None else hits.unionByName(part)
+    hits = checkpoint(hits.groupBy("__text", "__more").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("__hits")))
+    own = out.withColumn("__text", F.xxhash64(text)).withColumn("__more", F.hash(text)).join(hits, ["__text", "__more"], "left")
+    return own.select(*rest, F.coalesce("__hits", none).alias("found"))
+
+
+def _search(items: list[tuple[Any, str]], rate: float, least: int, id_type: DataType):  # noqa: ANN202
     from pyspark.sql.functions import arrow_udf
 
-    shape = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("end", pa.int64())]))
+    shape = pa.list_(pa.struct([("item_id", to_arrow_type(id_type)), ("edits", pa.int32()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        finder = Finder(items, rate)
+        finder = Finder(items, rate, least)
         for texts in batches:
             yield pa.array([[dict(zip(("item_id", "edits", "end"), m, strict=True)) for m in finder.find(t.as_py())] for t in texts], shape)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     # else a filter on the result would be run as a second search
-    return arrow_udf(run, kind).asNondeterministic()
+    return arrow_udf(run, f"array<struct<item_id:{id_type.simpleString()},edits:int,end:long>>").asNondeterministic()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:  # noqa: ANN003
