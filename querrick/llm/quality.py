@@ -22,6 +22,8 @@ DICT_BYTES = 32_768
 LEVEL = 1
 #: The score from which a document is taken as good.
 KEEP = 0.7
+#: Labels a class that are sent to the executors at most; more are joined by id.
+SENT_LABELS = 100_000
 
 
 class Model(NamedTuple):
@@ -103,31 +105,44 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_text_byte
     """A model learnt from at most ``per_class`` labelled documents of each class that are not held out, those whose ids hash least.
 
     Documents over ``max_text_bytes`` are not taken as examples, which bounds
-    what reaches the driver at ``2 * per_class * max_text_bytes``. Labels other
-    than 0 and 1, null ids and null texts are not used; of repeated ids the
-    rows count as examples of their own.
+    what reaches the driver at ``2 * per_class * max_text_bytes``. Labels are
+    asked for in the order of their ids' hashes, more of them until there are
+    enough documents of each class or all labels are asked. Labels other than 0
+    and 1, null ids and null texts are not used; rows that repeat an id, in
+    labels or documents, count as examples of their own; without examples of both
+    classes, or with an empty table, scores are the share of the one class.
     """
     able = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col("quality").cast("int").alias("__y"), F.md5(F.col(id_col).cast("string")).alias("__order"))
-    some, there = None, dict(able.groupBy("__y").count().collect())
-    for value in (0, 1):
-        # twice as many labels as needed, for some have no document or a large one; a threshold on the hash comes first, so that no task sends many
-        part = able.where(F.col("__y") == value)
-        if (share := 4 * per_class / max(1, there.get(value, 0))) < 1:
-            part = part.where(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") < int(share * 2**32))
-        part = part.orderBy("__order", "__id").limit(2 * per_class)
-        some = part if some is None else some.unionByName(part)
-    found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(some), F.col("__doc") == F.col("__id"))
-    found = found.where(F.octet_length("__text") <= max_text_bytes)
-    rows = []
-    for value in (0, 1):
-        rows.append(found.where(F.col("__y") == value).orderBy("__order", "__id", "__text").limit(per_class).select("__y", "__text", "__order"))
-    got = rows[0].unionByName(rows[1]).collect()
+    there, ask = dict(able.groupBy("__y").count().collect()), 2 * per_class
+    while True:
+        some = None
+        for value in (0, 1):
+            # a threshold on the hash comes first, so that no task sends many labels
+            part = able.where(F.col("__y") == value)
+            if (share := 2 * ask / max(1, there.get(value, 0))) < 1:
+                part = part.where(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") < int(share * 2**32))
+            part = part.orderBy("__order", "__id").limit(ask)
+            some = part if some is None else some.unionByName(part)
+        if ask <= SENT_LABELS:
+            some = F.broadcast(some)
+        found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(some, F.col("__doc") == F.col("__id"))
+        found = found.where(F.octet_length("__text") <= max_text_bytes)
+        rows = [found.where(F.col("__y") == value).orderBy("__order", "__id", "__text").limit(per_class).select("__y", "__text", "__order") for value in (0, 1)]
+        got = rows[0].unionByName(rows[1]).collect()
+        if all(sum(r["__y"] == value for r in got) >= per_class or ask >= there.get(value, 0) for value in (0, 1)):
+            break
+        ask *= 4
     got.sort(key=lambda r: (r["__order"], r["__y"], r["__text"]))
     return fit_texts([r["__text"] for r in got], [r["__y"] for r in got])
 
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the score (0 to 1) of each whole text; null texts are empty. A column of that name is replaced."""
+    """``docs`` with the score (0 to 1) of each whole text.
+
+    Null and empty texts score as the offset of the calibration says; equal
+    texts score alike; repeated rows and rows without an id are rows like others;
+    an empty table gives no rows. A column of that name is replaced.
+    """
     from pyspark.sql.functions import pandas_udf
 
     def run(batches: Iterator) -> Iterator:
