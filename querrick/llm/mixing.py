@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint
 
-#: Rows that share a size class and a source are dealt over more tasks beyond this count of rows in all.
-ROWS_A_PART = 200_000
+#: Beyond this count of rows in all, rows that share a size class and a source are dealt over 16, 256, ... parts by hash; results do not depend on it.
+ROWS_A_PART = 20_000
 
 
 def word_count(text):  # noqa: ANN001, ANN201
@@ -45,7 +45,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     """``docs`` with ``size`` (words), ``source_size``, ``target`` and ``copies``: how often the mix takes each row.
 
     A source's documents stand in order of size class (so that large documents
-    are spread evenly over what is taken), then by a hash of the doc_id. Each
+    are spread evenly over what is taken), then by a hash of the doc_id, then by
+    size and a hash of the text, so that rows of one id have an order too. Each
     expects ``target / source_size`` copies; these are prefix-summed, one random
     offset a source (from ``seed``) is added, and a document is emitted once for
     every whole number crossed. ``copies`` is at most ``ceil(cap)``.
@@ -57,15 +58,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     Null texts have size 0; a source without words takes no copies; null sources
     are one source, last in order; null ids count as the empty string; repeated
     rows are rows like others (which of two equal rows gets a copy does not
-    matter); an empty table gives no rows. Columns of the four names above are
+    matter, as long as their other columns are equal too); an empty table gives no rows. Columns of the four names above are
     replaced.
     """
     own = ("size", "source_size", "target", "copies")
     rest = [c for c in docs.columns if c not in own]
-    sized = docs.select(*rest, source_key(F.col(source_col)).alias("__key"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__md5"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(*rest, source_key(F.col(source_col)).alias("__key"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__md5"), F.xxhash64(F.col(text_col)).alias("__text"), word_count(F.col(text_col)).alias("size"))
     sized = sized.withColumn("__cls", F.expr("cast(length(bin(size)) * 64 + shiftright(size, greatest(length(bin(size)) - 6, 0)) as int)"))
     total = docs.count()
-    digits = next((d for d in range(3) if total <= ROWS_A_PART * 16**d), 3)
+    digits = next((d for d in range(4) if total <= ROWS_A_PART * 16**d), 4)
     fine = sized.groupBy(F.col("__key").alias("key"), F.col("__cls").alias("cls"), F.substring("__md5", 1, digits).alias("hex")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     fine = checkpoint(fine, total)
     parts = fine.select("key", "cls", "hex", "n")
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     table = parts.join(plan(fine.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, cap, seed), "key")
     table = table.select(F.col("key").alias("__key"), F.col("cls").alias("__cls"), F.col("hex").alias("__hex"), F.col("before").alias("__before"), "source_size", "target", F.col("phase").alias("__phase"))
     sized = sized.withColumn("__hex", F.substring("__md5", 1, digits))
-    place = F.row_number().over(Window.partitionBy("__key", "__cls", "__hex").orderBy("__md5", F.col(id_col)))
+    place = F.row_number().over(Window.partitionBy("__key", "__cls", "__hex").orderBy("__md5", F.col(id_col), "size", "__text"))
     joined = sized.withColumn("__place", place).join(table, ["__key", "__cls", "__hex"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank = (F.col("__before") + F.col("__place")).cast("double")
