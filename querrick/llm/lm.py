@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -20,12 +21,23 @@ by_value(__name__)
 
 #: Token at the end of every text; no word holds a space.
 END = b" "
-#: Tokens whose counts are sent to the executors; the counts of others are joined.
+#: Tokens whose counts are sent to the executors (more where more tokens have vectors); the counts of others are joined.
 SENT_TOKENS = 65_536
-#: Classes of the neural model: its most frequent tokens, the end among them. One more class stands for all other tokens.
-CLASSES = 1_024
 #: Tokens that a task counts before it hands them on.
 FLUSH = 400_000
+#: Context positions, the nearest first; components of a vector; noise samples a token.
+CONTEXT, SIZE, NOISE = 2, 16, 20
+#: Tokens of a step of training, and of a product of matrices when texts are scored.
+STEP = 4_096
+#: Training goes over small corpora several times, until about so many tokens were seen.
+SEEN = 4_000_000
+#: Rows of the parameters that are added up in one place.
+ROWS = 2_048
+
+
+def named_tokens(tokens: int) -> int:
+    """How many tokens have vectors of their own in a corpus of so many tokens: grows without end, but more slowly than distinct tokens do."""
+    return max(32, int(2 * tokens**0.4))
 
 
 class Vocabulary(NamedTuple):
@@ -36,13 +48,25 @@ class Vocabulary(NamedTuple):
     frequent: list[tuple[bytes, int]]
 
 
-class Model(NamedTuple):
-    """``logp[h, w]``: natural log-probability of class w after class h; the last class is every other token, and the last context the start."""
+class Units(NamedTuple):
+    """The words of the neural model, most frequent first: tokens by themselves, and buckets of all other tokens by their last bytes.
+
+    ``names``: tokens with a vector of their own; ``of_name``, ``of_bucket``: units
+    of names and buckets; ``counts``: occurrences of the units in training;
+    ``inside``: occurrences plus distinct tokens plus one of each bucket; ``width``:
+    units of a class.
+    """
+
+    names: list[bytes]
+    of_name: np.ndarray
+    of_bucket: np.ndarray
+    counts: np.ndarray
+    inside: np.ndarray
+    width: int
 
-    logp: np.ndarray
-    classes: list[bytes]
-    other_tokens: int
-    other_distinct: int
+    @property
+    def classes(self) -> int:
+        return -(-len(self.counts) // self.width)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -75,7 +99,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, sent: int = SENT_TOKENS) -> Vocabulary:
-    """Totals, and the tokens over a count that at most ``sent`` tokens exceed.
+    """Totals, and the tokens over a count that at most ``sent`` tokens (or twice those with vectors) exceed.
 
     That count comes from a histogram in 32 steps a doubling, so that no task
     sends its own ``sent`` tokens to the driver. Where more tokens than ``sent``
@@ -83,6 +107,8 @@ def vocabulary(counts: DataFrame, sent: int = SENT_TOKENS) -> Vocabulary:
     """
     step = F.floor(F.log2("c") * 32).cast("int")
     steps = sorted(counts.groupBy(step.alias("s")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    total, distinct = sum(r["c"] for r in steps), sum(r["n"] for r in steps)
+    sent = max(sent, 2 * named_tokens(total))
     least, held = None, 0
     for row in steps:
         if held + row["n"] > sent and held:
@@ -91,121 +117,255 @@ def vocabulary(counts: DataFrame, sent: int = SENT_TOKENS) -> Vocabulary:
     some = counts.where(step >= least) if least is not None else counts.limit(0)
     top = (some if held <= sent else some.orderBy("token").limit(sent)).collect()
     frequent = sorted(((bytes(r["token"]), r["c"]) for r in top), key=lambda x: (-x[1], x[0]))
-    total, distinct = sum(r["c"] for r in steps), sum(r["n"] for r in steps)
     if total and END not in dict(frequent):
         frequent[-1] = END, counts.where(F.col("token") == F.lit(END)).first()["c"]
     return Vocabulary(total, distinct, frequent)
 
 
-def class_ids(classes: list[bytes]) -> dict[bytes, int]:
-    return {w: i for i, w in enumerate(classes)}
-
+def bucket_of(token: bytes, buckets: int) -> int:
+    """Tokens without a vector of their own go by their last three bytes, which say something of language and kind."""
+    return zlib.crc32(token[-3:]) % buckets
 
-def count_pairs(texts: DataFrame, classes: list[bytes]) -> np.ndarray:
-    """``[h, w]``: how often class w follows class h in the rows of ``text``; added up by pair of classes, of which there are a fixed number."""
-    k = len(classes) + 1
-    names = class_ids(classes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((k + 1) * k, dtype=np.int64)
-        get = names.get
-        for batch in batches:
-            ids: list[int] = []
-            for text in batch.column(0):
-                ids.append(k)
-                ids.extend([get(w, k - 1) for w in words(text.as_py())])
-                if len(ids) > 1 << 20:
-                    _add(table, ids, k)
-                    ids = []
-            _add(table, ids, k)
-        some = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some])], names=["pair", "n"])
-
-    found = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((k + 1) * k, dtype=np.float64)
-    table[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    return table.reshape(k + 1, k)
-
-
-def _add(table: np.ndarray, ids: list[int], k: int) -> None:
-    a = np.array(ids, dtype=np.int64)
-    if len(a) > 1:
-        h, w = a[:-1], a[1:]
-        real = w < k
-        table += np.bincount(h[real] * k + w[real], minlength=len(table))
-
-
-def train(pairs: np.ndarray, size: int = 32, noise: int = 20, steps: int = 250, rate: float = 0.05, seed: int = 5) -> np.ndarray:
-    """Normalised log-probabilities ``[h, w]`` of a log-bilinear model of the counted pairs.
-
-    The energy of w after h is ``r_h C . q_w + b_w`` (context and word vectors;
-    with one context position C folds into r). Noise-contrastive estimation
-    against the unigram distribution with ``noise`` samples a token; as the pairs
-    are counted, the objective's expectation over data and noise is taken
-    exactly, by products of matrices, rather than by drawing samples. Adam,
-    fixed steps. The normaliser is then computed for each context.
+def units(counts: DataFrame, known: Vocabulary) -> Units:
+    """The model's units; counts of buckets cover all training tokens."""
+    names = [w for w, _ in known.frequent[: named_tokens(known.tokens)]]
+    if known.tokens and END not in names:
+        names[-1] = END
+    tally = dict(known.frequent)
+    buckets = max(16, len(names) // 4)
+    c, v = np.zeros(buckets), np.zeros(buckets)
+    place = F.crc32(F.substring("token", -3, 3)) % buckets
+    for row in counts.groupBy(place.cast("int").alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+        c[row["b"]], v[row["b"]] = row["c"], row["v"]
+    for w in names:
+        b = bucket_of(w, buckets)
+        c[b] -= tally[w]
+        v[b] -= 1
+    every = np.r_[[float(tally[w]) for w in names], c]
+    order = np.argsort(-every, kind="stable")
+    rank = np.empty(len(every), dtype=np.int64)
+    rank[order] = np.arange(len(every))
+    return Units(names, rank[: len(names)], rank[len(names) :], every[order], c + v + 1, math.ceil(math.sqrt(len(every))))
+
+
+class Model:
+    """A log-bilinear model of units, in two levels: the class of a unit, then the unit within its class (classes by frequency).
+
+    The vector predicted from a context is ``sum_i R[h_i] @ C_i`` over its
+    positions; a class or unit has the energy of its product with its own vector,
+    plus a bias. All parameters are rows of one table: context vectors (one more
+    for the start of a text), position matrices, class vectors, unit vectors; the
+    last column is the bias.
     """
-    rows, k = pairs.shape
-    counts = pairs.sum(axis=0)
-    unigram = (counts + 0.5) / (counts + 0.5).sum()
-    total = max(pairs.sum(), 1.0)
-    data = pairs / total
-    ctx = data.sum(axis=1, keepdims=True)
-    rng = np.random.default_rng(seed)
-    par = [rng.normal(0, 0.1, (rows, size)), rng.normal(0, 0.1, (k, size)), np.log(unigram)]
-    first, second = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par]
-    shift = np.log(noise * unigram)
-    against = noise * ctx * unigram
-    # rare contexts and words still learn: rows of the gradient are measured by their own share
-    row_scale, col_scale = 1 / (ctx + 1e-5), 1 / (unigram + 1e-5)
-    for step in range(1, steps + 1):
-        r, q, b = par
-        true = 1 / (1 + np.exp(np.clip(shift - (r @ q.T + b), -40, 40)))
-        slope = data * (1 - true) - against * true
-        grads = [(slope @ q) * row_scale - 1e-4 * r, (slope.T @ r) * col_scale[:, None] - 1e-4 * q, slope.sum(axis=0) * col_scale]
-        now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        for p, g, m, v in zip(par, grads, first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p += now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    r, q, b = par
-    energy = r @ q.T + b
+
+    def __init__(self, u: Units, table: np.ndarray | None = None, seed: int = 5) -> None:
+        k, s, n = u.classes, u.width, len(u.counts)
+        share = np.zeros(k * s)
+        share[:n] = (u.counts + 0.5) / (u.counts + 0.5).sum()
+        share = share.reshape(k, s)
+        self.of_class = share.sum(axis=1).astype(np.float32)
+        self.within = (share / share.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.start, self.width, self.real = n, s, self.within > 0
+        ends = np.cumsum([n + 1, CONTEXT * SIZE, k, k * s])
+        if table is None:
+            rng = np.random.default_rng(seed)
+            table = np.zeros((ends[-1], SIZE + 1), dtype=np.float32)
+            table[:, :SIZE] = rng.normal(0, 0.1, (ends[-1], SIZE))
+            for i in range(CONTEXT):
+                table[ends[0] + i * SIZE : ends[0] + (i + 1) * SIZE, :SIZE] += np.eye(SIZE) / (i + 1)
+            table[ends[1] : ends[2], SIZE] = np.log(self.of_class)
+            table[ends[2] :, SIZE] = np.log(np.maximum(self.within, 1e-12)).ravel()
+        self.table, self.ends = table, ends
+        self.context, self.by_class = table[: ends[0], :SIZE], table[ends[1] : ends[2]]
+        self.turn = table[ends[0] : ends[1], :SIZE].reshape(CONTEXT, SIZE, SIZE)
+        self.by_unit = table[ends[2] :].reshape(k, s, SIZE + 1)
+
+    def predicted(self, ahead: list[np.ndarray]) -> np.ndarray:
+        return sum(self.context[h] @ self.turn[i] for i, h in enumerate(ahead))
+
+    def log_probabilities(self, ahead: list[np.ndarray], unit: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities, normalised over all units, of the units after their contexts."""
+        p = self.predicted(ahead)
+        cls = unit // self.width
+        out = _picked(p @ self.by_class[:, :SIZE].T + self.by_class[:, SIZE], cls)
+        for c, rows in _segments(cls):
+            real = self.real[c]
+            out[rows] += _picked(p[rows] @ self.by_unit[c, real, :SIZE].T + self.by_unit[c, real, SIZE], unit[rows] % self.width)
+        return out
+
+    def slopes(self, ahead: list[np.ndarray], unit: np.ndarray) -> np.ndarray:
+        """The ascent of the noise-contrastive objective, for all parameters.
+
+        Noise comes from the units' frequencies (of classes, and within the class):
+        ``NOISE`` samples a token. As there are few classes and few units of one,
+        the expectation over the noise is taken exactly rather than by drawing.
+        """
+        out = np.zeros_like(self.table)
+        p = self.predicted(ahead)
+        cls = unit // self.width
+        g = _contrast(p @ self.by_class[:, :SIZE].T + self.by_class[:, SIZE], self.of_class, cls)
+        a, b = self.ends[1], self.ends[2]
+        out[a:b, :SIZE], out[a:b, SIZE] = g.T @ p, g.sum(axis=0)
+        back = g @ self.by_class[:, :SIZE]
+        for c, rows in _segments(cls):
+            at, own = b + c * self.width, self.by_unit[c]
+            g = _contrast(p[rows] @ own[:, :SIZE].T + own[:, SIZE], self.within[c], unit[rows] % self.width)
+            out[at : at + self.width, :SIZE], out[at : at + self.width, SIZE] = g.T @ p[rows], g.sum(axis=0)
+            back[rows] += g @ own[:, :SIZE]
+        for i, h in enumerate(ahead):
+            at = self.ends[0] + i * SIZE
+            out[at : at + SIZE, :SIZE] = self.context[h].T @ back
+            more, order = back @ self.turn[i].T, np.argsort(h, kind="stable")
+            first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+            out[h[order][first], :SIZE] += np.add.reduceat(more[order], first, axis=0)
+        return out
+
+
+def _picked(energy: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Log-softmax of the rows at one column each."""
     top = energy.max(axis=1, keepdims=True)
-    return energy - top - np.log(np.exp(energy - top).sum(axis=1, keepdims=True))
+    return energy[np.arange(len(energy)), column] - top[:, 0] - np.log(np.exp(energy - top).sum(axis=1))
+
+
+def _contrast(energy: np.ndarray, noise: np.ndarray, true: np.ndarray) -> np.ndarray:
+    """Slopes of log s(true) + expected noise * log(1 - s(noise)), s the chance that a unit is data and not noise."""
+    noise = np.maximum(NOISE * noise, np.float32(1e-9))
+    data = 1 / (1 + np.exp(np.clip(np.log(noise) - energy, -30, 30)))
+    out, rows = -noise * data, np.arange(len(energy))
+    out[rows, true] += 1 - data[rows, true]
+    return out
+
+
+def _segments(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(cls, kind="stable")
+    ends = np.flatnonzero(np.diff(cls[order])) + 1
+    for rows in np.split(order, ends):
+        if len(rows):
+            yield int(cls[rows[0]]), rows
 
 
-def fit(texts: DataFrame, counts: DataFrame, classes: int = CLASSES) -> tuple[Vocabulary, Model]:
-    """Vocabulary and model of the rows of ``text``, of which ``counts`` are the token counts."""
+class Reader:
+    """Texts as units with their contexts."""
+
+    def __init__(self, u: Units) -> None:
+        of_bucket, buckets = u.of_bucket.tolist(), len(u.of_bucket)
+
+        class Ids(dict):
+            def __missing__(self, token: bytes) -> int:
+                return of_bucket[zlib.crc32(token[-3:]) % buckets]
+
+        self.ids, self.start = Ids(zip(u.names, u.of_name.tolist(), strict=True)), len(u.counts)
+
+    def contexts(self, rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The units before each, nearest first, and the units, of texts that are rows of units."""
+        lead = np.full(CONTEXT, self.start)
+        flat = np.concatenate([x for r in rows for x in (lead, r)]) if rows else np.empty(0, dtype=np.int64)
+        at = np.flatnonzero(flat != self.start)
+        return [flat[at - 1 - i] for i in range(CONTEXT)], flat[at]
+
+
+def train(texts: DataFrame, u: Units, tokens: int, rate: float = 0.15) -> np.ndarray:
+    """The parameters, learnt from every token of the rows of ``text``.
+
+    Each task goes through its own rows in steps of STEP tokens (adaptive rates),
+    from the same start; the tasks' parameters are then averaged, each row by how
+    often the tasks used it. What is handed on grows with the input: one table a
+    task, added up by block of rows on the executors. Small corpora are gone
+    through several times, each from the average before. No task waits for
+    another and a lost one is run again from its rows.
+    """
+    spark = texts.sparkSession
+    table = Model(u).table
+    blocks = -(-len(table) // ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, reader = Model(u, sent.value.copy()), Reader(u)
+        seen = np.full(model.table.shape, 1e-6, dtype=np.float32)
+        used = np.zeros(len(model.table), dtype=np.float64)
+        ids, waiting, total = reader.ids, [], 0
+
+        def step(rows: list[np.ndarray]) -> None:
+            ahead, unit = reader.contexts(rows)
+            for at in range(0, len(unit), STEP):
+                near, own = [h[at : at + STEP] for h in ahead], unit[at : at + STEP]
+                g = model.slopes(near, own)
+                seen[:] += g * g
+                model.table += rate * g / np.sqrt(seen)
+                used[: model.ends[0]] += sum(np.bincount(h, minlength=model.ends[0]) for h in near)
+                used[model.ends[0] : model.ends[1]] += len(own)
+                used[model.ends[1] : model.ends[2]] += np.bincount(own // u.width, minlength=u.classes)
+                used[model.ends[2] :] += np.bincount(own, minlength=u.classes * u.width)
+
+        for batch in batches:
+            for text in batch.column(0):
+                waiting.append(np.array([ids[w] for w in words(text.as_py())], dtype=np.int64))
+                total += len(waiting[-1])
+                if total >= 8 * STEP:
+                    step(waiting)
+                    waiting, total = [], 0
+        step(waiting)
+        weight = (used + 1e-6 * used.sum()).astype(np.float32)
+        starts = range(0, len(weight), ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([weight[i : i + ROWS].tobytes() for i in starts], pa.binary()), pa.array([model.table[i : i + ROWS].tobytes() for i in starts], pa.binary())], names=["block", "weight", "rows"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for block, weight, rows in zip(*(batch.column(i) for i in range(3)), strict=True):
+                w = np.frombuffer(weight.as_buffer(), dtype=np.float32).astype(np.float64)
+                x = np.frombuffer(rows.as_buffer(), dtype=np.float32).reshape(len(w), -1) * w[:, None]
+                if block.as_py() in sums:
+                    held = sums[block.as_py()]
+                    held[0] += w
+                    held[1] += x
+                else:
+                    sums[block.as_py()] = [w, x]
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([w.tobytes() for w, _ in sums.values()], pa.binary()), pa.array([x.tobytes() for _, x in sums.values()], pa.binary())], names=["block", "weight", "rows"])
+
+    shape = "block int, weight binary, rows binary"
+    for _ in range(min(20, max(1, -(-SEEN // max(tokens, 1))))) if tokens else ():
+        sent = spark.sparkContext.broadcast(table)
+        table = table.copy()
+        for block, weight, rows in texts.mapInArrow(run, shape).repartition(blocks, "block").mapInArrow(added, shape).collect():
+            w = np.frombuffer(weight, dtype=np.float64)
+            some = w > 0
+            table[block : block + len(w)][some] = (np.frombuffer(rows, dtype=np.float64).reshape(len(w), -1)[some] / w[some, None]).astype(np.float32)
+    return table
+
+
+def fit(texts: DataFrame, counts: DataFrame) -> tuple[Vocabulary, Units, np.ndarray]:
+    """Vocabulary, units and parameters of the rows of ``text``, of which ``counts`` are the token counts."""
     known = vocabulary(counts)
-    names = [w for w, _ in known.frequent[:classes]]
-    if known.tokens and END not in names:
-        names[-1] = END
-    own = class_ids(names)
-    inside = sum(c for w, c in known.frequent if w in own)
-    return known, Model(train(count_pairs(texts, names)), names, known.tokens - inside, known.distinct - len(names))
+    u = units(counts, known)
+    return known, u, train(texts, u, known.tokens)
 
 
-def scores(docs: DataFrame, classes: int = CLASSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row of ``docs``: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     ``score`` is the log10 probability of the whole text (and its end) under the
-    model: the class of each token after the class of the one before, and within
-    the class of all other tokens ``(c + 1) / (N' + V' + 1)``, with c the token's
-    count and N', V' the other tokens and distinct other tokens in training, so
+    model: each token's unit after the units of the CONTEXT tokens before it, and
+    for tokens that share a bucket ``(c + 1) / (N + V + 1)`` within it, with c the
+    token's count and N, V the bucket's tokens and distinct tokens in training, so
     that unseen tokens have a share. ``base_score`` is the add-one unigram.
 
     Counts cover all training rows. Those of the most frequent tokens are sent to
-    the executors (a fixed number); the other tokens of each row are joined with
-    their counts by hash, which spreads them. A row stands for itself, however
-    often its id is repeated. Null texts are empty and score their end alone; a
-    null doc_id is a training row; an empty table gives no rows; without
-    training rows all tokens are unknown; other columns are ignored.
+    the executors; the other tokens of each row are joined with their counts by
+    hash, which spreads them. How rows are dealt over tasks decides what a task
+    trains on, so that scores may differ in their last digits, or a little more,
+    with other splits of the input; counts and base scores do not.
+
+    A row stands for itself, however often its id is repeated. Null texts are
+    empty and score their end alone; a null doc_id is a training row; an empty
+    table gives no rows; without training rows all tokens are unknown; other
+    columns are ignored.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     learn = slim.where("not held_out").select("text")
     counts = checkpoint(count_tokens(learn))
-    known, model = fit(learn, counts, classes)
-    rows = checkpoint(_parts(slim, known, model))
+    known, u, table = fit(learn, counts)
+    rows = checkpoint(_parts(slim, known, u, table))
     rare = counts.select(F.xxhash64("token").alias("h"), "c") if known.distinct > len(known.frequent) else counts.limit(0).select(F.xxhash64("token").alias("h"), "c")
     tails = rows.select("rid", F.explode("tail").alias("h"))
     more = tails.join(rare, "h").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("lg"), F.count(F.lit(1)).alias("k"))
@@ -214,40 +374,37 @@ def scores(docs: DataFrame, classes: int = CLASSES, id_col: str = "doc_id", text
     return rows.drop("tail").join(more, "rid", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + k).cast("long").alias("n_known"), F.lit(known.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("part") + lg).alias("score"))
 
 
-def _parts(slim: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
+def _parts(slim: DataFrame, known: Vocabulary, u: Units, table: np.ndarray) -> DataFrame:
     """What a row's text gives by itself: ``base`` and ``part`` lack the logarithms of counts of the tokens hashed in ``tail``."""
-    spark = slim.sparkSession
-    sent = spark.sparkContext.broadcast((known.frequent, model.logp.astype(np.float32), model.classes, math.log10(model.other_tokens + model.other_distinct + 1)))
+    sent = slim.sparkSession.sparkContext.broadcast((known.frequent, table))
+    kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, logp, classes, other = sent.value
-        table = (logp / math.log(10)).ravel()
-        k = logp.shape[1]
-        own = class_ids(classes)
-        ids = dict(own)
-        for w, _ in frequent:
-            ids.setdefault(w, len(ids))
-        tally = dict(frequent)
-        log_c = np.array([math.log10(tally[w] + 1) for w in ids] + [0.0])
-        get, unknown = ids.get, len(ids)
-        spread = np.minimum(np.arange(unknown + 1), k - 1)
+        frequent, parameters = sent.value
+        model, reader = Model(u, parameters), Reader(u)
+        place = {w: i for i, (w, _) in enumerate(frequent)}
+        log_c = np.array([math.log10(c + 1) for _, c in frequent] + [0.0])
+        get, unknown, ids = place.get, len(place), reader.ids
+        # the share of a token within its unit, but for its own count
+        inside = np.zeros(model.start + 1)
+        inside[u.of_bucket] = -np.log10(u.inside)
+        shared = np.zeros(model.start + 1)
+        shared[u.of_bucket] = 1
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            n_tokens, n_known, base, part, tails = [], [], [], [], []
+            n_tokens, n_known, base, tails, rows, added = [], [], [], [], [], []
             for text in batch.column(2):
                 tokens = words(text.as_py())
                 a = np.fromiter((get(w, unknown) for w in tokens), dtype=np.int64, count=len(tokens))
-                cls = spread[a]
-                ahead = np.empty_like(cls)
-                ahead[0], ahead[1:] = k, cls[:-1]
+                rows.append(np.fromiter((ids[w] for w in tokens), dtype=np.int64, count=len(tokens)))
                 lg = log_c[a]
                 hard = np.flatnonzero(a == unknown)
-                rest = cls == k - 1
                 n_tokens.append(len(tokens))
                 n_known.append(len(tokens) - len(hard))
                 base.append(float(lg.sum()))
-                part.append(float(table[ahead * k + cls].sum(dtype=np.float64) + lg[rest].sum() - rest.sum() * other))
+                added.append(float((lg * shared[rows[-1]] + inside[rows[-1]]).sum()))
                 tails.append(np.array([xxhash.xxh64_intdigest(tokens[i], 42) for i in hard], dtype=np.uint64).view(np.int64))
+            part = np.array(added) + _scored(model, reader, rows)
             ends = np.cumsum([0, *map(len, tails)]).astype(np.int32)
             flat = np.concatenate(tails) if tails else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -256,4 +413,13 @@ def _parts(slim: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
             )
             rid += batch.num_rows
 
-    return slim.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, part double, tail array<long>")
+    return slim.mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, part double, tail array<long>")
+
+
+def _scored(model: Model, reader: Reader, rows: list[np.ndarray]) -> np.ndarray:
+    """The log10 probabilities of texts that are rows of units, by products over STEP * 4 tokens at once."""
+    ahead, unit = reader.contexts(rows)
+    logp = np.empty(len(unit))
+    for at in range(0, len(unit), 4 * STEP):
+        logp[at : at + 4 * STEP] = model.log_probabilities([h[at : at + 4 * STEP] for h in ahead], unit[at : at + 4 * STEP])
+    return np.bincount(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), logp, len(rows)) / math.log(10)
