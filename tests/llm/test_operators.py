@@ -264,7 +264,7 @@ def test_decontamination(spark, edge, empty):
 
 def test_lm(spark, edge, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r.doc_id: r for r in lm.scores(docs, classes=64).collect()}
+    got = {r.doc_id: r for r in lm.scores(docs).collect()}
     texts = {r.doc_id: [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in words_of(r.text)] + [None] for r in docs.collect()}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     counts = Counter(t for i, ts in texts.items() if not out[i] for t in ts)
@@ -276,8 +276,8 @@ def test_lm(spark, edge, empty):
     held = [i for i in texts if out[i]]
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
     few = {r.doc_id: r for r in lm_with_few_sent(docs)}
-    assert all(math.isclose(few[i].score, got[i].score, rel_tol=1e-6) and few[i].n_known == got[i].n_known for i in texts)
-    rows = lm.scores(edge, classes=8).collect()
+    assert all(math.isclose(few[i].score, got[i].score, rel_tol=1e-4) and few[i].n_known == got[i].n_known for i in texts)
+    rows = lm.scores(edge).collect()
     assert len(rows) == len(EDGE) and all(r.score < 0 for r in rows)
     assert lm.scores(empty).count() == 0
 
@@ -286,15 +286,91 @@ def lm_with_few_sent(docs, monkey=200):
     keep = lm.vocabulary
     lm.vocabulary = lambda counts: keep(counts, monkey)
     try:
-        return lm.scores(docs, classes=64).collect()
+        return lm.scores(docs).collect()
     finally:
         lm.vocabulary = keep
 
 
+def made_units(rng, names=40, buckets=16):
+    counts = np.sort(rng.integers(1, 500, names + buckets).astype(float))[::-1]
+    order = rng.permutation(names + buckets)
+    return lm.Units([b"n%d" % i for i in range(names)], order[:names], order[names:], counts, rng.integers(2, 90, buckets).astype(float), 8)
+
+
 def test_lm_is_normalised():
     rng = np.random.default_rng(0)
-    pairs = rng.integers(0, 50, (12, 11)).astype(float)
-    logp = lm.train(pairs, steps=60)
-    assert np.allclose(np.exp(logp).sum(axis=1), 1)
-    unigram = np.log(pairs.sum(0) / pairs.sum())
-    assert (pairs * logp).sum() > (pairs * unigram).sum()
+    u = made_units(rng)
+    model = lm.Model(u)
+    model.table += rng.normal(0, 0.3, model.table.shape).astype(np.float32)
+    model = lm.Model(u, model.table)
+    n = len(u.counts)
+    for h in ([3, n], [n, n], [0, 7]):
+        ahead = [np.full(n, x) for x in h]
+        logp = model.log_probabilities(ahead, np.arange(n))
+        assert math.isclose(np.exp(logp.astype(float)).sum(), 1, abs_tol=1e-4)
+        # from the definition: the sum of turned context vectors, and two softmaxes
+        p = sum(model.context[x] @ model.turn[i] for i, x in enumerate(h))
+        e = model.by_class[:, :-1] @ p + model.by_class[:, -1]
+        for w in (0, 9, n - 1):
+            c, slot = divmod(w, u.width)
+            real = model.real[c]
+            f = model.by_unit[c, real, :-1] @ p + model.by_unit[c, real, -1]
+            want = e[c] - np.log(np.exp(e).sum()) + f[slot] - np.log(np.exp(f).sum())
+            assert math.isclose(logp[w], want, abs_tol=1e-3)
+
+
+def test_lm_slopes_are_those_of_the_contrastive_objective():
+    rng = np.random.default_rng(1)
+    u = made_units(rng, 20, 5)
+    model = lm.Model(u)
+    ahead, unit = [rng.integers(0, 26, 30) for _ in range(lm.CONTEXT)], rng.integers(0, 25, 30)
+
+    def objective(table):
+        m = lm.Model(u, table)
+        total, s = 0.0, lambda x: 1 / (1 + np.exp(-x))
+        for i, w in enumerate(unit):
+            p = sum(table[h[i], :-1].astype(float) @ m.turn[j].astype(float) for j, h in enumerate(ahead))
+            c, slot = divmod(int(w), u.width)
+            for vectors, noise, true in ((m.by_class, m.of_class, c), (m.by_unit[c], m.within[c], slot)):
+                kn = np.maximum(lm.NOISE * noise.astype(float), 1e-9)
+                d = vectors[:, :-1].astype(float) @ p + vectors[:, -1] - np.log(kn)
+                total += np.log(s(d[true])) + (kn * np.log(1 - s(d))).sum()
+        return total
+
+    slopes = model.slopes(ahead, unit)
+    for row, col in ((ahead[0][0], 2), (model.ends[0] + 3, 5), (model.ends[1] + 1, lm.SIZE), (model.ends[2] + int(unit[0]), 1), (model.ends[0] + lm.SIZE + 2, 7)):
+        up, down = model.table.astype(np.float64), model.table.astype(np.float64)
+        up[row, col] += 1e-4
+        down[row, col] -= 1e-4
+        assert math.isclose((objective(up) - objective(down)) / 2e-4, slopes[row, col], rel_tol=1e-2, abs_tol=2e-2)
+
+
+def test_lm_against_brute_force(spark):
+    """Every score again from the fitted parameters, token by token; the shares of all tokens after a context add up to 1."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    learn = docs.where(~lm.held_out()).select("text")
+    counts = lm.count_tokens(learn)
+    known, u, table = lm.fit(learn, counts)
+    keep, lm.fit = lm.fit, lambda *_: (known, u, table)
+    try:
+        got = {r.doc_id: r.score for r in lm.scores(docs).collect()}
+    finally:
+        lm.fit = keep
+    tally = {bytes(r.token): r.c for r in counts.collect()}
+    model, names, n = lm.Model(u, table), {w: u.of_name[i] for i, w in enumerate(u.names)}, len(u.counts)
+
+    def unit(t):
+        return names.get(t, u.of_bucket[lm.bucket_of(t, len(u.of_bucket))])
+
+    inside = lambda t: 1.0 if t in names else (tally.get(t, 0) + 1) / u.inside[lm.bucket_of(t, len(u.of_bucket))]
+    ahead = [np.full(n, 4), np.full(n, n)]
+    share = np.exp(model.log_probabilities(ahead, np.arange(n)).astype(float))
+    total = sum(share[unit(t)] * inside(t) for t in tally) + sum(share[b] / u.inside[i] for i, b in enumerate(u.of_bucket))
+    assert math.isclose(total, 1, abs_tol=1e-3)
+    for r in docs.limit(40).collect():
+        line = [unit(t) for t in lm.words(r.text)]
+        want = sum(math.log10(inside(t)) for t in lm.words(r.text))
+        for i, w in enumerate(line):
+            h = [np.array([line[i - 1 - j] if i - 1 - j >= 0 else n]) for j in range(lm.CONTEXT)]
+            want += float(model.log_probabilities(h, np.array([w]))[0]) / math.log(10)
+        assert math.isclose(got[r.doc_id], want, rel_tol=1e-4, abs_tol=1e-2)
