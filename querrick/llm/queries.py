@@ -22,7 +22,7 @@ def op2_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "pages"))
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "pages"), columns=["page_id"])
     return done.select("page_id", "host", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -47,7 +47,7 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, max_bits=3)
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, max_bits=3)
     return groups.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
