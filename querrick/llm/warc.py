@@ -21,6 +21,8 @@ by_value(__name__)
 REVISIT_BYTES = 1000
 #: A writer starts a new archive beyond this many compressed bytes.
 ROLL_BYTES = 64 << 20
+#: Payloads that occur more than once: up to so many are sent to every executor (some 10 MB); more are joined by digest.
+SENT_DIGESTS = 100_000
 #: Bytes that the reader takes from a file at once.
 CHUNK = 1 << 16
 URN = "urn:x-page:"
@@ -114,19 +116,25 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
 
     Of rows with equal payloads of at least REVISIT_BYTES, those of the largest
     page_id are responses and the others revisit it; smaller payloads are all
-    responses. Only digests and ids are shuffled to find them. A null html is an
+    responses. Only digests and ids are shuffled to find them; where there are
+    few, they are sent to the executors and pages stay where they are read, else
+    pages are joined by digest. A null html is an
     empty payload; a null page_id is the least; a null url leaves out the target;
     repeated rows are records of their own (all of the largest page_id are
-    responses); an empty table gives no archives.
+    responses); an empty table gives no archives; other columns are ignored.
 
-    An archive is written under a name of its own attempt and then renamed to
-    one that depends on the partition alone, so a repeated task replaces it by
-    equal bytes.
+    Rows are written in order of their page_id (then of digest, url and kind)
+    within a partition, whatever order they come in. An archive is written under
+    a name of its own attempt and then renamed to one that depends on the
+    partition alone, so a repeated task replaces each of its archives by the same
+    bytes, also where it rolls over to a further one.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     again = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(again, "digest", "left").select("page_id", "url", "html", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    again = checkpoint(again)
+    few = again.limit(SENT_DIGESTS + 1).count() <= SENT_DIGESTS
+    rows = rows.join(F.broadcast(again) if few else again, "digest", "left").sortWithinPartitions("page_id", "digest", "url").select("page_id", "url", "html", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
