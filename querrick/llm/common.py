@@ -3,6 +3,7 @@ functions, components of a graph given by its links."""
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -23,6 +24,25 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
+def one_thread() -> None:
+    """Let numpy's matrix products use the one core that a task has: threads of several tasks would wait for each other.
+
+    Settings in the environment come too late in a worker, so the library that is
+    loaded is told; where there is none of that name, nothing happens.
+    """
+    try:
+        with open("/proc/self/maps") as maps:
+            loaded = {line.split()[-1] for line in maps if "openblas" in line}
+    except OSError:
+        return
+    for path in loaded:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

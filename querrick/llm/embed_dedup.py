@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, checkpoint, components
+from .common import by_value, checkpoint, components, one_thread
 
 by_value(__name__)
 
@@ -48,18 +48,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, w
     count of nodes, the threshold and ``miss``, the bound on the chance to miss
     a link. Buckets over BLOCK members are cut into blocks and each two blocks
     compared apart. Pairs count in the first table where they meet. What leaves
-    a comparison is each node's weight of links and a spanning forest of them,
-    not the pairs.
+    a comparison is each node's weight of links and one row a node that ties it
+    to its part of the graph, not the pairs. Comparisons are handed vectors in
+    the type they are stored in and 32 bits a table of their signatures.
 
     Null, zero or non-finite vectors and null labels link with nothing. A null
     vec_id is a row of its own without links. Rows that repeat a vec_id are
     vectors of their own, linked if their values say so, and share the id's
     component. An empty table gives no rows; other columns are ignored.
     """
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
-    base = base.withColumn("ok", usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
+    base = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("v"))
+    base = base.withColumn("ok", usable(F.col("v").cast("array<double>")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     good = base.where("ok")
-    nodes = checkpoint(good.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w")).withColumn("node", F.xxhash64("label", "v", "least")))
+    nodes = checkpoint(good.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w")).withColumn("node", F.monotonically_increasing_id()))
     count = nodes.count()
     k, tables = tables_for(count, cosine, miss, width)
     near = _links(nodes, cosine, k, tables, width, seed) if count else None
@@ -80,16 +81,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, miss: float = 1e-5, w
 
 
 def _links(nodes: DataFrame, cosine: float, k: int, tables: int, width: float, seed: int) -> DataFrame:
-    """``(node, other, w)``: with ``other`` null a part of the node's weight of links, else a link of a spanning forest."""
+    """``(node, other, w)``: with ``other`` null a part of the node's weight of links, else two nodes that links tie together."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         planes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             lengths = np.diff(batch.column("v").offsets.to_numpy())
-            flat, at = batch.column("v").flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lengths)]
-            keys = np.zeros((batch.num_rows, tables), dtype=np.int64)
+            flat, at = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.r_[0, np.cumsum(lengths)]
+            keys = np.zeros((batch.num_rows, tables), dtype=np.int32)
             for dim in np.unique(lengths):
                 if dim not in planes:
                     rng = np.random.default_rng(seed)
@@ -102,26 +104,26 @@ def _links(nodes: DataFrame, cosine: float, k: int, tables: int, width: float, s
                 cells = np.floor((x @ a + b) / width).astype(np.int64).reshape(len(rows), tables, k)
                 with np.errstate(over="ignore"):
                     mixed = (cells * mix).sum(axis=2)
-                    keys[rows] = (mixed ^ (mixed >> 29)) * np.int64(-4658895280553007687) + np.int64(dim)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), keys.ravel())], names=["node", "sig"])
+                    keys[rows] = ((mixed ^ (mixed >> 29)) * np.int64(-4658895280553007687) + np.int64(dim)) >> 32
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "tag", "w", "v")), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), keys.ravel())], names=["node", "tag", "w", "v", "sig"])
 
-    signed = checkpoint(nodes.select("node", "v").mapInArrow(sign, "node long, sig array<long>"))
-    spots = signed.join(nodes.select("node", "label"), "node").select("node", "label", F.posexplode("sig").alias("t", "h")).select("node", "t", F.xxhash64("label", "t", "h").alias("bucket"))
-    spots = checkpoint(spots)
+    kind = nodes.schema["v"].dataType.simpleString()
+    signed = checkpoint(nodes.select("node", F.xxhash64("label").alias("tag"), "w", "v").mapInArrow(sign, f"node long, tag long, w long, v {kind}, sig array<int>"))
+    spots = checkpoint(signed.select("node", F.posexplode("sig").alias("t", "h"), "tag").select("node", "t", F.xxhash64("tag", "t", "h").alias("bucket")))
     full = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     units = spots.join(full, "bucket").withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("node", "t", "mine", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), (F.col("mine") != F.col("other")).alias("two"))
-    rows = units.join(signed, "node").join(nodes.select("node", "v", "w"), "node")
+    rows = units.join(signed, "node")
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.select("unit", "t", "mine", "two", "node", "w", "sig", "v").repartition(parts, "unit").sortWithinPartitions("unit")
+    rows = rows.select("unit", "t", "mine", "two", "node", "tag", "w", "sig", "v").repartition(parts, "unit").sortWithinPartitions("unit")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(node: list, other: list, w: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(w, pa.int64())], names=["node", "other", "w"])
 
-        def unit(t: int, mine: np.ndarray, two: bool, node: np.ndarray, w: np.ndarray, sig: np.ndarray, x: np.ndarray, got: tuple) -> None:
+        def unit(t: int, mine: np.ndarray, two: bool, node: np.ndarray, part: np.ndarray, w: np.ndarray, sig: np.ndarray, x: np.ndarray, got: tuple) -> None:
             if two:
                 sides = [np.flatnonzero(mine == m) for m in np.unique(mine)]
                 if len(sides) < 2:
@@ -129,7 +131,7 @@ def _links(nodes: DataFrame, cosine: float, k: int, tables: int, width: float, s
                 left, right = sides
             else:
                 left = right = np.arange(len(node))
-            near = x[left] @ x[right].T >= cosine
+            near = (x[left] @ x[right].T >= cosine) & (part[left][:, None] == part[right])
             if not two:
                 np.fill_diagonal(near, False)
             i, j = np.nonzero(near)
@@ -144,21 +146,13 @@ def _links(nodes: DataFrame, cosine: float, k: int, tables: int, width: float, s
             got[0].extend(node[some].tolist())
             got[1].extend([None] * len(some))
             got[2].extend(weight[some].astype(np.int64).tolist())
-            up = list(range(len(node)))
-
-            def top(n: int) -> int:
-                while up[n] != n:
-                    up[n] = up[up[n]]
-                    n = up[n]
-                return n
-
-            for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                if p != q and (p < q or two) and (r := top(p)) != (s := top(q)):
-                    up[r] = s
-                    got[0].append(int(node[p]))
-                    got[1].append(int(node[q]))
-                    got[2].append(0)
+            up = parts_of(a, b, len(node))
+            tied = np.flatnonzero(up != np.arange(len(node)))
+            got[0].extend(node[up[tied]].tolist())
+            got[1].extend(node[tied].tolist())
+            got[2].extend([0] * len(tied))
 
+        one_thread()
         rest = None
         for last, batch in _with_last(batches):
             whole = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
@@ -168,23 +162,26 @@ def _links(nodes: DataFrame, cosine: float, k: int, tables: int, width: float, s
             if not cut:
                 continue
             keys = keys[:cut]
-            col = {c: whole.column(c).to_numpy() for c in ("t", "mine", "node", "w")}
+            col = {c: whole.column(c).to_numpy() for c in ("t", "mine", "node", "tag", "w")}
             two = whole.column("two").to_numpy(zero_copy_only=False)
             sig = _one(whole.column("sig")).flatten().to_numpy().reshape(cut, -1)
             vectors = _one(whole.column("v"))
             lengths, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy()
             at = np.r_[0, np.cumsum(lengths)]
             got: tuple[list, list, list] = [], [], []
+            with np.errstate(over="ignore"):
+                # units go by a hash: where two had the same, labels and tables tell them apart
+                part = col["tag"] * np.int64(tables) + col["t"]
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             for s, e in zip(starts.tolist(), np.r_[starts[1:], cut].tolist(), strict=True):
                 if e - s < 2:
                     continue
                 for dim in np.unique(lengths[s:e]).tolist():
                     rows = s + np.flatnonzero(lengths[s:e] == dim)
-                    x = flat[at[rows][:, None] + np.arange(dim)]
+                    x = flat[at[rows][:, None] + np.arange(dim)].astype(np.float64)
                     x = x / np.abs(x).max(axis=1, keepdims=True)
                     x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    unit(int(col["t"][s]), col["mine"][rows], bool(two[s]), col["node"][rows], col["w"][rows], sig[rows], x, got)
+                    unit(int(col["t"][s]), col["mine"][rows], bool(two[s]), col["node"][rows], part[rows], col["w"][rows], sig[rows], x, got)
                 if len(got[0]) > 50_000:
                     yield out(*got)
                     got = [], [], []
@@ -194,6 +191,19 @@ def _links(nodes: DataFrame, cosine: float, k: int, tables: int, width: float, s
     return rows.mapInArrow(compare, "node long, other long, w long")
 
 
+def parts_of(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
+    """The least member of each member's part of the graph of the links a-b."""
+    up = np.arange(count)
+    while True:
+        before = up.copy()
+        low = np.minimum(up[a], up[b])
+        np.minimum.at(up, a, low)
+        np.minimum.at(up, b, low)
+        up = up[up]
+        if (up == before).all():
+            return up
+
+
 def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
     before = None
     for batch in batches:
