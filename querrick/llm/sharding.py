@@ -9,6 +9,8 @@ from .common import checkpoint
 
 #: Bits of hash that a directory may use.
 BITS = 60
+#: Levels of the directory that are summed from one table of buckets.
+STRIDE = 10
 #: Rows of a directory that are sent to every executor; a larger one is joined by its key.
 SMALL_DIRECTORY = 100_000
 
@@ -24,7 +26,25 @@ def _prefix(key, depth):  # noqa: ANN001, ANN202
     return F.call_function("shiftright", key, (F.lit(BITS) - depth).cast("int"))
 
 
-def directory(keys: DataFrame, max_bytes: int, slack: int = 5) -> DataFrame:
+def level_sums(fine: DataFrame, low: int, high: int) -> DataFrame:
+    """``(depth, prefix, shard_bytes, shard_rows)`` of all prefixes of ``low`` to ``high`` bits, from those of ``high`` bits, ``fine`` ``(p, bytes, rows)``.
+
+    Summed STRIDE levels at a time, each stride from the shortest prefixes of the
+    one before, of which there are 2 ** STRIDE times fewer.
+    """
+    out = None
+    while True:
+        to = max(low, high - STRIDE)
+        level = fine.select(F.explode(F.sequence(F.lit(to), F.lit(high))).alias("depth"), "p", "bytes", "rows")
+        level = level.groupBy("depth", F.call_function("shiftright", F.col("p"), (F.lit(high) - F.col("depth")).cast("int")).alias("prefix")).agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
+        level = checkpoint(level)
+        out = level if out is None else out.unionByName(level.where(F.col("depth") < high))
+        if to == low:
+            return out
+        fine, high = level.where(F.col("depth") == to).select(F.col("prefix").alias("p"), F.col("shard_bytes").alias("bytes"), F.col("shard_rows").alias("rows")), to
+
+
+def directory(keys: DataFrame, max_bytes: int, slack: int = 3) -> DataFrame:
     """The leaves ``(depth, prefix, shard_bytes, shard_rows)`` of the extendible hash of ``(key, bytes)``.
 
     A leaf is the shortest prefix whose rows fit ``max_bytes``: starting from
@@ -40,9 +60,7 @@ def directory(keys: DataFrame, max_bytes: int, slack: int = 5) -> DataFrame:
     left = keys
     while rows:
         fine = left.groupBy(_prefix(F.col("key"), high).alias("p")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-        level = fine.select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"), "p", "bytes", "rows")
-        level = level.groupBy("depth", F.call_function("shiftright", F.col("p"), (F.lit(high) - F.col("depth")).cast("int")).alias("prefix")).agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
-        level = checkpoint(level)
+        level = level_sums(fine, low, high)
         over = level.where(F.col("shard_bytes") > max_bytes).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
         fits = level.where((F.col("shard_bytes") <= max_bytes) | (F.col("depth") == BITS)).withColumn("parent", F.shiftright("prefix", 1))
         leaves = fits.join(over, ["depth", "parent"], "left_semi").select("depth", "prefix", "shard_bytes", "shard_rows")
@@ -94,8 +112,9 @@ def shard(docs: DataFrame, max_bytes: int = 1 << 20, id_col: str = "doc_id", tex
     that of all their columns and of a number that tells equal rows apart; that
     number comes from counting equal rows, not from numbering them in one task.
 
-    Null texts have no bytes; null ids count as the empty string; repeated rows
-    are rows like others; an empty table gives no rows. Columns of the three
+    Null texts have no bytes; null ids count as the empty string; repeated rows,
+    and rows of one id with different texts, are rows like others that go to one
+    shard as long as they fit it; an empty table gives no rows. Columns of the three
     names above are replaced.
     """
     rest = [c for c in docs.columns if c not in ("doc_bytes", "shard_id", "shard_bytes")]
