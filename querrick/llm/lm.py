@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, checkpoint
+from .common import by_value, checkpoint, one_thread
 
 by_value(__name__)
 
@@ -26,11 +26,15 @@ SENT_TOKENS = 65_536
 #: Tokens that a task counts before it hands them on.
 FLUSH = 400_000
 #: Context positions, the nearest first; components of a vector; noise samples a token.
-CONTEXT, SIZE, NOISE = 2, 16, 20
+CONTEXT, SIZE, NOISE = 2, 16, 16
 #: Tokens of a step of training, and of a product of matrices when texts are scored.
-STEP = 4_096
+STEP = 16_384
+#: Rows of a product that is worked on at once, so that it stays in a core's memory.
+SLICE = 2_048
 #: Training goes over small corpora several times, until about so many tokens were seen.
 SEEN = 4_000_000
+#: Squared slopes that adaptive rates start from: rows that are seldom met move little.
+START = 30.0
 #: Rows of the parameters that are added up in one place.
 ROWS = 2_048
 
@@ -167,6 +171,7 @@ class Model:
         self.of_class = share.sum(axis=1).astype(np.float32)
         self.within = (share / share.sum(axis=1, keepdims=True)).astype(np.float32)
         self.start, self.width, self.real = n, s, self.within > 0
+        self.draw_class, self.draw_within = self.of_class.astype(float) / self.of_class.astype(float).sum(), np.cumsum(self.within, axis=1)
         ends = np.cumsum([n + 1, CONTEXT * SIZE, k, k * s])
         if table is None:
             rng = np.random.default_rng(seed)
@@ -186,33 +191,45 @@ class Model:
 
     def log_probabilities(self, ahead: list[np.ndarray], unit: np.ndarray) -> np.ndarray:
         """Natural log-probabilities, normalised over all units, of the units after their contexts."""
-        p = self.predicted(ahead)
-        cls = unit // self.width
-        out = _picked(p @ self.by_class[:, :SIZE].T + self.by_class[:, SIZE], cls)
+        order = np.argsort(unit, kind="stable")
+        p, own = self.predicted([h[order] for h in ahead]), unit[order]
+        cls, slot = own // self.width, own % self.width
+        got = np.empty(len(own), dtype=np.float32)
+        vectors, bias = np.ascontiguousarray(self.by_class[:, :SIZE].T), self.by_class[:, SIZE]
+        for at in range(0, len(own), SLICE):
+            got[at : at + SLICE] = _picked(p[at : at + SLICE] @ vectors + bias, cls[at : at + SLICE])
         for c, rows in _segments(cls):
             real = self.real[c]
-            out[rows] += _picked(p[rows] @ self.by_unit[c, real, :SIZE].T + self.by_unit[c, real, SIZE], unit[rows] % self.width)
+            got[rows] += _picked(p[rows] @ self.by_unit[c, real, :SIZE].T + self.by_unit[c, real, SIZE], slot[rows])
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
-    def slopes(self, ahead: list[np.ndarray], unit: np.ndarray) -> np.ndarray:
+    def slopes(self, ahead: list[np.ndarray], unit: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """The ascent of the noise-contrastive objective, for all parameters.
 
-        Noise comes from the units' frequencies (of classes, and within the class):
-        ``NOISE`` samples a token. As there are few classes and few units of one,
-        the expectation over the noise is taken exactly rather than by drawing.
+        Noise comes from the units' frequencies: NOISE classes drawn for each SLICE
+        of tokens, and NOISE units of its class for the tokens of a class.
         """
         out = np.zeros_like(self.table)
-        p = self.predicted(ahead)
-        cls = unit // self.width
-        g = _contrast(p @ self.by_class[:, :SIZE].T + self.by_class[:, SIZE], self.of_class, cls)
+        order = np.argsort(unit, kind="stable")
+        ahead, own = [h[order] for h in ahead], unit[order]
+        p, cls, slot = self.predicted(ahead), own // self.width, own % self.width
         a, b = self.ends[1], self.ends[2]
-        out[a:b, :SIZE], out[a:b, SIZE] = g.T @ p, g.sum(axis=0)
-        back = g @ self.by_class[:, :SIZE]
+        # the data: each token's own class and unit
+        back = np.zeros_like(p)
+        for at, vectors, noise in ((a, self.by_class[cls], self.of_class[cls]), (b, self.by_unit[cls, slot], self.within[cls, slot])):
+            energy = np.einsum("ij,ij->i", p, vectors[:, :SIZE]) + vectors[:, SIZE]
+            more = 1 - _data(energy, noise)
+            back += more[:, None] * vectors[:, :SIZE]
+            _add_by(out[at:], own if at == b else cls, more, p)
+        # the noise
+        for at in range(0, len(own), SLICE):
+            drawn = rng.choice(len(self.of_class), NOISE, p=self.draw_class)
+            self._less(out[a:b], self.by_class, drawn, self.of_class, p, back, slice(at, at + SLICE))
         for c, rows in _segments(cls):
-            at, own = b + c * self.width, self.by_unit[c]
-            g = _contrast(p[rows] @ own[:, :SIZE].T + own[:, SIZE], self.within[c], unit[rows] % self.width)
-            out[at : at + self.width, :SIZE], out[at : at + self.width, SIZE] = g.T @ p[rows], g.sum(axis=0)
-            back[rows] += g @ own[:, :SIZE]
+            drawn = np.minimum(np.searchsorted(self.draw_within[c], rng.random(NOISE)), self.width - 1)
+            self._less(out[b + c * self.width : b + (c + 1) * self.width], self.by_unit[c], drawn, self.within[c], p, back, rows)
         for i, h in enumerate(ahead):
             at = self.ends[0] + i * SIZE
             out[at : at + SIZE, :SIZE] = self.context[h].T @ back
@@ -221,28 +238,49 @@ class Model:
             out[h[order][first], :SIZE] += np.add.reduceat(more[order], first, axis=0)
         return out
 
+    def _less(self, out: np.ndarray, vectors: np.ndarray, drawn: np.ndarray, noise: np.ndarray, p: np.ndarray, back: np.ndarray, rows: slice) -> None:
+        """What the drawn noise takes from the slopes of ``vectors`` (in ``out``) and of the predictions ``rows`` (in ``back``)."""
+        some, near = vectors[drawn], p[rows]
+        g = _data(near @ some[:, :SIZE].T + some[:, SIZE], noise[drawn])
+        back[rows] -= g @ some[:, :SIZE]
+        less = np.empty((len(drawn), SIZE + 1), dtype=np.float32)
+        less[:, :SIZE], less[:, SIZE] = g.T @ near, g.sum(axis=0)
+        np.subtract.at(out, drawn, less)
 
-def _picked(energy: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Log-softmax of the rows at one column each."""
-    top = energy.max(axis=1, keepdims=True)
-    return energy[np.arange(len(energy)), column] - top[:, 0] - np.log(np.exp(energy - top).sum(axis=1))
 
+def _data(energy: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The chance that units of these energies are data, against NOISE draws of chance ``noise``; ``energy`` is used up."""
+    np.subtract(np.log(np.maximum(NOISE * noise, np.float32(1e-9))), energy, out=energy)
+    # goes to 0 where the exponential overflows
+    with np.errstate(over="ignore"):
+        np.exp(energy, out=energy)
+    energy += 1
+    return np.divide(1, energy, out=energy)
 
-def _contrast(energy: np.ndarray, noise: np.ndarray, true: np.ndarray) -> np.ndarray:
-    """Slopes of log s(true) + expected noise * log(1 - s(noise)), s the chance that a unit is data and not noise."""
-    noise = np.maximum(NOISE * noise, np.float32(1e-9))
-    data = 1 / (1 + np.exp(np.clip(np.log(noise) - energy, -30, 30)))
-    out, rows = -noise * data, np.arange(len(energy))
-    out[rows, true] += 1 - data[rows, true]
-    return out
+
+def _add_by(out: np.ndarray, key: np.ndarray, more: np.ndarray, p: np.ndarray) -> None:
+    """Adds ``more * (p, 1)`` to the rows ``key`` (in order) of ``out``."""
+    if not len(key):
+        return
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    out[key[first], :SIZE] += np.add.reduceat(more[:, None] * p, first, axis=0)
+    out[key[first], SIZE] += np.add.reduceat(more, first)
+
+
+def _picked(energy: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Log-softmax of the rows at one column each; ``energy`` is used up."""
+    energy -= energy.max(axis=1, keepdims=True)
+    out = energy[np.arange(len(energy)), column]
+    np.exp(energy, out=energy)
+    return out - np.log(energy.sum(axis=1))
 
 
-def _segments(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
-    ends = np.flatnonzero(np.diff(cls[order])) + 1
-    for rows in np.split(order, ends):
-        if len(rows):
-            yield int(cls[rows[0]]), rows
+def _segments(cls: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The classes of tokens in order, and where they are."""
+    ends = np.flatnonzero(np.diff(cls)) + 1
+    for at, end in zip([0, *ends.tolist()], [*ends.tolist(), len(cls)], strict=True):
+        if end > at:
+            yield int(cls[at]), slice(at, end)
 
 
 class Reader:
@@ -277,21 +315,27 @@ def train(texts: DataFrame, u: Units, tokens: int, rate: float = 0.15) -> np.nda
     """
     spark = texts.sparkSession
     table = Model(u).table
-    blocks = -(-len(table) // ROWS)
+    blocks, size = -(-len(table) // ROWS), min(STEP, max(1024, tokens // 200))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         model, reader = Model(u, sent.value.copy()), Reader(u)
-        seen = np.full(model.table.shape, 1e-6, dtype=np.float32)
+        seen, room = np.full(model.table.shape, START, dtype=np.float32), np.empty_like(model.table)
         used = np.zeros(len(model.table), dtype=np.float64)
         ids, waiting, total = reader.ids, [], 0
+        rng = np.random.default_rng(TaskContext.get().partitionId())
 
         def step(rows: list[np.ndarray]) -> None:
             ahead, unit = reader.contexts(rows)
-            for at in range(0, len(unit), STEP):
-                near, own = [h[at : at + STEP] for h in ahead], unit[at : at + STEP]
-                g = model.slopes(near, own)
-                seen[:] += g * g
-                model.table += rate * g / np.sqrt(seen)
+            for at in range(0, len(unit), size):
+                near, own = [h[at : at + size] for h in ahead], unit[at : at + size]
+                g = model.slopes(near, own, rng)
+                np.multiply(g, g, out=room)
+                np.add(seen, room, out=seen)
+                np.sqrt(seen, out=room)
+                np.divide(g, room, out=room)
+                np.multiply(room, rate, out=room)
+                model.table += room
                 used[: model.ends[0]] += sum(np.bincount(h, minlength=model.ends[0]) for h in near)
                 used[model.ends[0] : model.ends[1]] += len(own)
                 used[model.ends[1] : model.ends[2]] += np.bincount(own // u.width, minlength=u.classes)
@@ -301,7 +345,7 @@ def train(texts: DataFrame, u: Units, tokens: int, rate: float = 0.15) -> np.nda
             for text in batch.column(0):
                 waiting.append(np.array([ids[w] for w in words(text.as_py())], dtype=np.int64))
                 total += len(waiting[-1])
-                if total >= 8 * STEP:
+                if total >= 2 * STEP:
                     step(waiting)
                     waiting, total = [], 0
         step(waiting)
@@ -380,11 +424,13 @@ def _parts(slim: DataFrame, known: Vocabulary, u: Units, table: np.ndarray) -> D
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         frequent, parameters = sent.value
         model, reader = Model(u, parameters), Reader(u)
         place = {w: i for i, (w, _) in enumerate(frequent)}
         log_c = np.array([math.log10(c + 1) for _, c in frequent] + [0.0])
-        get, unknown, ids = place.get, len(place), reader.ids
+        get, unknown = place.get, len(place)
+        unit_of = np.array([reader.ids[w] for w, _ in frequent] + [0], dtype=np.int64)
         # the share of a token within its unit, but for its own count
         inside = np.zeros(model.start + 1)
         inside[u.of_bucket] = -np.log10(u.inside)
@@ -396,9 +442,10 @@ def _parts(slim: DataFrame, known: Vocabulary, u: Units, table: np.ndarray) -> D
             for text in batch.column(2):
                 tokens = words(text.as_py())
                 a = np.fromiter((get(w, unknown) for w in tokens), dtype=np.int64, count=len(tokens))
-                rows.append(np.fromiter((ids[w] for w in tokens), dtype=np.int64, count=len(tokens)))
                 lg = log_c[a]
                 hard = np.flatnonzero(a == unknown)
+                rows.append(unit_of[a])
+                rows[-1][hard] = [reader.ids[tokens[i]] for i in hard.tolist()]
                 n_tokens.append(len(tokens))
                 n_known.append(len(tokens) - len(hard))
                 base.append(float(lg.sum()))
@@ -417,9 +464,9 @@ def _parts(slim: DataFrame, known: Vocabulary, u: Units, table: np.ndarray) -> D
 
 
 def _scored(model: Model, reader: Reader, rows: list[np.ndarray]) -> np.ndarray:
-    """The log10 probabilities of texts that are rows of units, by products over STEP * 4 tokens at once."""
+    """The log10 probabilities of texts that are rows of units, by products over STEP tokens at once."""
     ahead, unit = reader.contexts(rows)
     logp = np.empty(len(unit))
-    for at in range(0, len(unit), 4 * STEP):
-        logp[at : at + 4 * STEP] = model.log_probabilities([h[at : at + 4 * STEP] for h in ahead], unit[at : at + 4 * STEP])
+    for at in range(0, len(unit), STEP):
+        logp[at : at + STEP] = model.log_probabilities([h[at : at + STEP] for h in ahead], unit[at : at + STEP])
     return np.bincount(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), logp, len(rows)) / math.log(10)
