@@ -77,20 +77,24 @@ def surroundings(tables: dict[str, DataFrame], table: str, ids: DataFrame, limit
     symbols, chunks, files = (tables[t] for t in ("symbols", "chunks", "files"))
     from pyspark.sql import Window
 
-    def first(rows: DataFrame, relation: str, related: str, order: tuple[str, ...]) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("id").orderBy(*order))
-        return rows.withColumn("pos", place).where(F.col("pos") <= limit).select("id", F.lit(relation).alias("relation"), F.col("pos").cast("long").alias("pos"), F.col(related).alias("related_id"))
+    def first(rows: DataFrame, of: str, related: str, *order: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(of).orderBy(*order))
+        return rows.select(of, related, *order[:-1]).withColumn("pos", place.cast("long")).where(F.col("pos") <= limit).select(of, F.col(related).alias("related_id"), "pos")
 
+    def said(rows: DataFrame, relation: str) -> DataFrame:
+        return rows.select("id", F.lit(relation).alias("relation"), "pos", "related_id")
+
+    # what surrounds a file or belongs to an owner is found once, however many of its entities are asked for
     key = {"symbols": "symbol_id", "chunks": "chunk_id", "files": "file_id"}[table]
     own = ["file_path"] + (["owner_symbol_id"] if table == "chunks" else [])
     base = ids.select("id").distinct().join(tables[table].select(F.col(key).alias("id"), *own), "id")
-    out = first(base.join(symbols.select("file_path", "symbol_id", "start_line"), "file_path"), "neighbor", "symbol_id", ("start_line", "symbol_id"))
+    out = said(base.join(first(symbols, "file_path", "symbol_id", "start_line", "symbol_id"), "file_path"), "neighbor")
     if table != "files":
-        out = out.unionByName(first(base.join(files.select("file_path", "file_id"), "file_path"), "file", "file_id", ("file_id",)))
-        owner = F.col("id") if table == "symbols" else F.col("owner_symbol_id")
-        held = base.withColumn("__owner", owner).join(chunks.select(F.col("owner_symbol_id").alias("__owner"), "chunk_id", "start_line"), "__owner")
-        out = out.unionByName(first(held, "chunk" if table == "symbols" else "sibling", "chunk_id", ("start_line", "chunk_id")))
+        out = out.unionByName(said(base.join(first(files, "file_path", "file_id", "file_id"), "file_path"), "file"))
+        owner = base.withColumn("owner_symbol_id", F.col("id")) if table == "symbols" else base.where("owner_symbol_id is not null")
+        held = owner.join(first(chunks.where("owner_symbol_id is not null"), "owner_symbol_id", "chunk_id", "start_line", "chunk_id"), "owner_symbol_id")
+        out = out.unionByName(said(held, "chunk" if table == "symbols" else "sibling"))
     if table == "chunks":
-        owned = base.where("owner_symbol_id is not null").join(symbols.select(F.col("symbol_id").alias("owner_symbol_id")), "owner_symbol_id")
-        out = out.unionByName(first(owned, "owner", "owner_symbol_id", ("owner_symbol_id",)))
+        owned = base.join(symbols.select(F.col("symbol_id").alias("owner_symbol_id")), "owner_symbol_id")
+        out = out.unionByName(owned.select("id", F.lit("owner").alias("relation"), F.lit(1).cast("long").alias("pos"), F.col("owner_symbol_id").alias("related_id")))
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,6 +68,20 @@ def scope_combined(c: Corpus) -> DataFrame:
     return _scoped(c, path_prefix=("src/",), path_contains=("/en/",), path_not_contains=(".test.",), extension=(".ts", ".md"))
 
 
+#: Characters that patterns give a meaning, as paths may hold them.
+ODD = ("%", "_", "'", "\\", "*")
+LITERALS_ASKED = (*ODD, "doc%", ".p_")
+
+
+@query("+ odd AS (SELECT doc_id, file_path || ['%', '_', chr(39), chr(92), '*'][(doc_id % 5 + 1)::INT] AS file_path FROM files), asks AS (SELECT unnest(['%', '_', chr(39), chr(92), '*', 'doc%', '.p_']) AS asked) SELECT asked, doc_id, ends_with(file_path, asked) AS at_end FROM odd, asks WHERE contains(file_path, asked)")
+def scope_literals(c: Corpus) -> DataFrame:
+    """Such characters are literal in scopes."""
+    ends = F.element_at(F.array(*(F.lit(x) for x in ODD)), (F.col("doc_id") % 5 + 1).cast("int"))
+    odd = c.files.select("doc_id", F.concat("file_path", ends).alias("file_path"))
+    each = [Scope(path_contains=(x,)).apply(odd).select(F.lit(x).alias("asked"), "doc_id", F.col("file_path").endswith(x).alias("at_end")) for x in LITERALS_ASKED]
+    return reduce(DataFrame.unionByName, each)
+
+
 # Lookups -------------------------------------------------------------------------------------------------------
 
 
@@ -95,14 +110,14 @@ def context_snippet(c: Corpus) -> DataFrame:
 
 def _around(c: Corpus, table: str, key: str) -> DataFrame:
     tables = {"files": c.files, "symbols": c.symbols, "chunks": c.chunks.join(c.symbols.select("chunk_id", F.col("symbol_id").alias("owner_symbol_id")), "chunk_id", "left")}
-    ids = evaluation.sample_rows(tables[table].select(F.col(key).alias("id")), "id", 25, fixed.EVAL_SEED)
-    return lookup.surroundings(tables, table, ids)
+    return lookup.surroundings(tables, table, tables[table].select(F.col(key).alias("id")))
 
 
 AROUND = """+ owned AS (SELECT chunks.*, symbol_id AS owner_symbol_id FROM chunks LEFT JOIN (SELECT chunk_id, symbol_id FROM symbols) USING (chunk_id)),
-ids AS (SELECT * FROM {table} ORDER BY sha256('1337|' || {key}), {key} LIMIT 25)
+ids AS (SELECT * FROM {table}),
+near AS (SELECT * FROM (SELECT file_path, symbol_id, row_number() OVER (PARTITION BY file_path ORDER BY start_line, symbol_id)::BIGINT AS pos FROM symbols) WHERE pos <= 25)
 SELECT id, relation, pos, related_id FROM (
-  SELECT ids.{key} AS id, 'neighbor' AS relation, row_number() OVER (PARTITION BY ids.{key} ORDER BY s.start_line, s.symbol_id)::BIGINT AS pos, s.symbol_id AS related_id FROM ids JOIN symbols s ON s.file_path = ids.file_path
+  SELECT ids.{key} AS id, 'neighbor' AS relation, s.pos, s.symbol_id AS related_id FROM ids JOIN near s ON s.file_path = ids.file_path
   {more}) WHERE pos <= 25"""
 AROUND_FILE = "UNION ALL SELECT ids.{key}, 'file', 1, f.file_id FROM ids JOIN files f ON f.file_path = ids.file_path"
 
@@ -200,6 +215,15 @@ asked AS (SELECT 'b' || item_id AS query_id, text AS query FROM benchmark UNION
 """
 
 
+#: Every symbol of a document whose id is divisible by 20.
+WHOLE = "SELECT symbol_id, symbol_name, qualname FROM symbols WHERE doc_id % 20 = 0"
+
+
+def asked_symbols(c: Corpus) -> DataFrame:
+    """The query set of searches by name: every symbol of a document whose id is divisible by 20."""
+    return c.symbols.where("doc_id % 20 = 0").select("symbol_id", "symbol_name", "qualname")
+
+
 def sampled_symbols(c: Corpus) -> DataFrame:
     """The evaluation's sample of symbols, a fixed number, as a local table."""
     rows = evaluation.sample_rows(c.symbols.select("symbol_id", "symbol_name", "qualname", "file_path", "start_line", "end_line", "code_text", "doc_id"), "symbol_id", fixed.EVAL_BUCKETS["definition"][0], fixed.EVAL_SEED)
@@ -254,9 +278,9 @@ def _bm25(c: Corpus, rows: DataFrame, tokens: Column, qtokens: Column, key: str,
     return channels.bm25(search.terms(items(c), qtokens), rows, tokens, key, limit, source).select("query_id", "id", "rank", "raw_score")
 
 
-@query(_bm25_sql("chunks", q.simple_tokens("code_text", None), q.simple_tokens("query", None), "chunk_id", 40))
+@query(_bm25_sql("chunks", q.simple_tokens("code_text"), q.simple_tokens("query"), "chunk_id", 40))
 def bm25_code_text(c: Corpus) -> DataFrame:
-    return _bm25(c, c.chunks, text.simple_tokens(F.col("code_text"), None), text.simple_tokens(F.col("query"), None), "chunk_id", 40, "chunks.code_text")
+    return _bm25(c, c.chunks, text.simple_tokens(F.col("code_text")), text.simple_tokens(F.col("query")), "chunk_id", 40, "chunks.code_text")
 
 
 @query(_bm25_sql("chunks", q.simple_tokens("search_text"), q.simple_tokens("query"), "chunk_id", 120))
@@ -269,9 +293,9 @@ def bm25_identifiers(c: Corpus) -> DataFrame:
     return _bm25(c, c.symbols, text.whitespace_tokens(F.col("identifiers_text")), text.whitespace_tokens(F.col("query")), "symbol_id", 120, "symbols.identifiers")
 
 
-@query(_bm25_sql("chunks", f"flatten(list_transform(string_literals, lambda s: {q.simple_tokens('s', None)}))", q.simple_tokens("query", None), "chunk_id", 160))
+@query(_bm25_sql("chunks", f"flatten(list_transform(string_literals, lambda s: {q.simple_tokens('s')}))", q.simple_tokens("query"), "chunk_id", 160))
 def bm25_literals(c: Corpus) -> DataFrame:
-    return _bm25(c, c.chunks, search.literal_tokens("string_literals"), text.simple_tokens(F.col("query"), None), "chunk_id", 160, "chunks.string_literals")
+    return _bm25(c, c.chunks, search.literal_tokens("string_literals"), text.simple_tokens(F.col("query")), "chunk_id", 160, "chunks.string_literals")
 
 
 @query(_bm25_sql("files", q.simple_tokens("file_summary_text"), q.simple_tokens("query"), "file_id", 100))
@@ -279,27 +303,28 @@ def bm25_file_summary(c: Corpus) -> DataFrame:
     return _bm25(c, c.files, text.simple_tokens(F.col("file_summary_text")), text.simple_tokens(F.col("query")), "file_id", 100, "files.fts")
 
 
-NAMES = "+ sampled AS (" + NAMED + """),
+NAMES_OF = "+ sampled AS ({}" + """),
 names AS (SELECT symbol_id || '#n' AS query_id, symbol_id AS wanted, symbol_name AS query FROM sampled
   UNION ALL SELECT symbol_id || '#m', symbol_id, left(symbol_name, length(symbol_name) // 2) || substr(symbol_name, length(symbol_name) // 2 + 2) FROM sampled WHERE length(symbol_name) >= 6),
 """
+NAMES, ALL_NAMES = NAMES_OF.format(NAMED), NAMES_OF.format(WHOLE)
 
 
-def names(c: Corpus) -> DataFrame:
-    """Names of the sampled symbols, and each without its middle character."""
-    s = sampled_symbols(c).withColumn("query", F.explode(F.array(F.struct(F.lit("#n").alias("n"), F.col("symbol_name").alias("text")), F.struct(F.lit("#m").alias("n"), text.middle_deleted(F.col("symbol_name")).alias("text")))))
+def names(c: Corpus, symbols: DataFrame | None = None) -> DataFrame:
+    """Names of the ``symbols`` (the sampled ones), and each without its middle character."""
+    s = (sampled_symbols(c) if symbols is None else symbols).withColumn("query", F.explode(F.array(F.struct(F.lit("#n").alias("n"), F.col("symbol_name").alias("text")), F.struct(F.lit("#m").alias("n"), text.middle_deleted(F.col("symbol_name")).alias("text")))))
     return s.where("query.text is not null").select(F.concat("symbol_id", "query.n").alias("query_id"), F.col("symbol_id").alias("wanted"), F.col("query.text").alias("query"))
 
 
-@query(NAMES + f"asked AS (SELECT query_id, {q.prefix_tokens('query', 2, 8)} AS terms FROM names)," + q.bm25("c", "asked", "symbols", q.prefix_tokens("symbol_name", 2, 8), "symbol_id", 60) + " SELECT query_id, id, rank::INT AS rank, raw_score FROM c")
+@query(ALL_NAMES + f"asked AS (SELECT query_id, {q.prefix_tokens('query', 2, 8)} AS terms FROM names)," + q.bm25("c", "asked", "symbols", q.prefix_tokens("symbol_name", 2, 8), "symbol_id", 60) + " SELECT query_id, id, rank::INT AS rank, raw_score FROM c")
 def prefix_name_match(c: Corpus) -> DataFrame:
-    found = channels.bm25(search.terms(names(c), text.prefix_tokens(F.col("query"), 2, 8)), c.symbols, text.prefix_tokens(F.col("symbol_name"), 2, 8), "symbol_id", 60, "symbols.name")
+    found = channels.bm25(search.terms(names(c, asked_symbols(c)), text.prefix_tokens(F.col("query"), 2, 8)), c.symbols, text.prefix_tokens(F.col("symbol_name"), 2, 8), "symbol_id", 60, "symbols.name")
     return found.select("query_id", "id", "rank", "raw_score")
 
 
-@query(NAMES + f"plans AS {q.fuzzy_plan('names')}," + q.fuzzy("c", "plans", "symbols", "symbol_name", "symbol_id", 60) + " SELECT query_id, id, rank::INT AS rank, raw_score FROM c")
+@query(ALL_NAMES + f"plans AS {q.fuzzy_plan('names')}," + q.fuzzy("c", "plans", "symbols", "symbol_name", "symbol_id", 60) + " SELECT query_id, id, rank::INT AS rank, raw_score FROM c")
 def fuzzy_name_match(c: Corpus) -> DataFrame:
-    planned = names(c).select("query_id", intents.fuzzy_plan(F.col("query")).alias("p")).where("p is not null").select("query_id", "p.*")
+    planned = names(c, asked_symbols(c)).select("query_id", intents.fuzzy_plan(F.col("query")).alias("p")).where("p is not null").select("query_id", "p.*")
     return channels.fuzzy(planned, c.symbols, F.col("symbol_name"), "symbol_id", 60, "symbols.name_fuzzy").select("query_id", "id", "rank", "raw_score")
 
 
@@ -363,11 +388,11 @@ def lexical_overlap(c: Corpus) -> DataFrame:
 
 # Searches ------------------------------------------------------------------------------------------------------
 
-HITS = " SELECT query_id, pos::INT AS pos, tbl AS \"table\", id, file_path, round(score, 6) AS score FROM hits"
+HITS = " SELECT query_id, pos::INT AS pos, tbl AS \"table\", id, file_path, score FROM hits"
 
 
 def _shown(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", "pos", "table", "id", "file_path", F.round("score", 6).alias("score"))
+    return hits.select("query_id", "pos", "table", "id", "file_path", "score")
 
 
 SAMPLE_VECTORS = NAMES + f"vq AS (SELECT n.query_id, n.query, v.vec AS vector FROM names n JOIN vec_symbols v ON v.symbol_id = n.wanted),"
@@ -385,18 +410,20 @@ def _definition_sql(queries: str, k: int) -> str:
     )
 
 
-def name_vectors(c: Corpus) -> DataFrame:
-    """``names`` with the vectors of the symbols sampled, where they have one."""
+def name_vectors(c: Corpus, symbols: DataFrame | None = None) -> DataFrame:
+    """``names`` with the vectors of their symbols, where they have one."""
     vectors = c.with_vectors(c.symbols.select("symbol_id", "doc_id", "block"), "vector").select(F.col("symbol_id").alias("wanted"), "vector")
-    rows = names(c)
+    rows = names(c, symbols)
+    if symbols is not None:
+        return rows.join(vectors, "wanted", "left")
     some = rows.select("wanted").distinct()
     local = vectors.join(some, "wanted", "left_semi").where("vector is not null")
     return rows.join(c.spark.createDataFrame(local.collect(), local.schema), "wanted", "left")
 
 
-@query(SAMPLE_VECTORS + _definition_sql("vq", 10) + HITS, q.ENTITIES.strip() + "," + q.VECTORS)
+@query(SAMPLE_VECTORS.replace(NAMES, ALL_NAMES) + _definition_sql("vq", 10) + HITS, q.ENTITIES.strip() + "," + q.VECTORS)
 def search_definition(c: Corpus) -> DataFrame:
-    return _shown(search.definitions(c.tables(), name_vectors(c).select("query_id", "query", "vector"), 10))
+    return _shown(search.definitions(c.tables(), name_vectors(c, asked_symbols(c)).select("query_id", "query", "vector"), 10))
 
 
 ITEM_VECTORS = "+ vq AS (SELECT item_id AS query_id, text AS query, vec AS vector FROM benchmark LEFT JOIN vec_files ON doc_id = item_id WHERE text IS NOT NULL),"
@@ -417,10 +444,42 @@ def search_blocks(c: Corpus) -> DataFrame:
     return _shown(search.blocks(c.tables(), item_vectors(c), 20))
 
 
-LITERALS = "flatten(list_transform(string_literals, lambda s: " + q.simple_tokens("s", None) + "))"
+IN_SCOPE = "contains(file_path, '/en/') AND NOT contains(file_path, '.test.') AND extension IN ('.py', '.ts', '.md')"
+SCOPE = Scope(path_contains=("/en/",), path_not_contains=(".test.",), extension=(".py", ".ts", ".md"))
+
+
+def _files_sql(limit: int, k: int, where: str = "true") -> str:
+    return f" t0 AS (SELECT query_id, {q.simple_tokens('query')} AS terms FROM vq)," + q.bm25("f0", "t0", "files", q.simple_tokens("file_summary_text"), "file_id", limit, where) + "," + q.nearest("f1", "vq", "vec_files", "file_id", limit, where) + "," + q.fused([("f0", "files.fts", "fts"), ("f1", "files.vec_file", "vector")], "concept", q.FILE_HITS, k)
+
+
+def _blocks_sql(limit: int, k: int, where: str = "true") -> str:
+    return f" t0 AS (SELECT query_id, {q.whitespace_tokens('query')} AS terms FROM vq), t1 AS (SELECT query_id, {q.simple_tokens('query')} AS terms FROM vq)," + q.bm25("b0", "t0", "chunks", q.whitespace_tokens("identifiers_text"), "chunk_id", limit, where) + "," + q.bm25("b1", "t1", "chunks", q.simple_tokens("search_text"), "chunk_id", limit, where) + "," + q.nearest("b2", "vq", "vec_chunks", "chunk_id", limit, where) + "," + q.fused([("b0", "chunks.identifiers", "fts"), ("b1", "chunks.search_text", "fts"), ("b2", "chunks.vec_code", "vector")], "concept", q.CHUNK_HITS, k)
 
 
-@query(ITEMS + f" t0 AS (SELECT query_id, {q.simple_tokens('query', None)} AS terms FROM items)," + ",".join(q.bm25(f"e{n}", "t0", t, tok, key, 160) for n, (t, tok, key) in enumerate([("chunks", LITERALS, "chunk_id"), ("symbols", LITERALS, "symbol_id"), ("chunks", q.simple_tokens("code_text", None), "chunk_id"), ("symbols", q.simple_tokens("code_text", None), "symbol_id")])) + "," + q.fused([("e0", "chunks.string_literals", "fts"), ("e1", "symbols.string_literals", "fts"), ("e2", "chunks.code_text", "fts"), ("e3", "symbols.code_text", "fts")], "exact_text", q.BOTH_HITS, 20, tests=False) + HITS)
+@query(ITEM_VECTORS + _files_sql(100, 20, IN_SCOPE) + HITS, q.ENTITIES.strip() + "," + q.VECTORS)
+def search_files_scoped(c: Corpus) -> DataFrame:
+    """A scope restricts what channels return before their limits; their statistics cover all files."""
+    return _shown(search.files(c.tables(), item_vectors(c), 20, SCOPE))
+
+
+@query(ITEM_VECTORS + _blocks_sql(120, 20, IN_SCOPE) + HITS, q.ENTITIES.strip() + "," + q.VECTORS)
+def search_blocks_scoped(c: Corpus) -> DataFrame:
+    return _shown(search.blocks(c.tables(), item_vectors(c), 20, SCOPE))
+
+
+PARTS = (("files", _files_sql(channels.oversample("files", 7), 7)), ("definitions", _definition_sql("vq", 10)), ("blocks", _blocks_sql(channels.oversample("ranked", 10), 10)))
+
+
+@query(ITEM_VECTORS + " whole AS (SELECT 1) " + " UNION ALL ".join(f"SELECT '{grp}' AS grp, * FROM (WITH {body} {HITS})" for grp, body in PARTS), q.ENTITIES.strip() + "," + q.VECTORS)
+def search_concept(c: Corpus) -> DataFrame:
+    """Files, definitions and blocks, each with its share of the results."""
+    return search.concept(c.tables(), item_vectors(c), 20).select("grp", "query_id", "pos", "table", "id", "file_path", "score")
+
+
+LITERALS = "flatten(list_transform(string_literals, lambda s: " + q.simple_tokens("s") + "))"
+
+
+@query(ITEMS + f" t0 AS (SELECT query_id, {q.simple_tokens('query')} AS terms FROM items)," + ",".join(q.bm25(f"e{n}", "t0", t, tok, key, 160) for n, (t, tok, key) in enumerate([("chunks", LITERALS, "chunk_id"), ("symbols", LITERALS, "symbol_id"), ("chunks", q.simple_tokens("code_text"), "chunk_id"), ("symbols", q.simple_tokens("code_text"), "symbol_id")])) + "," + q.fused([("e0", "chunks.string_literals", "fts"), ("e1", "symbols.string_literals", "fts"), ("e2", "chunks.code_text", "fts"), ("e3", "symbols.code_text", "fts")], "exact_text", q.BOTH_HITS, 20, tests=False) + HITS)
 def search_exact_text(c: Corpus) -> DataFrame:
     return _shown(search.exact_text(c.tables(), items(c), 20))
 
@@ -433,7 +492,7 @@ def search_similar_code(c: Corpus) -> DataFrame:
     return _shown(search.similar_code(c.tables(), item_vectors(c), 20))
 
 
-USAGE_QUERIES = "+ sampled AS (" + NAMED + """),
+USAGE_QUERIES = "+ sampled AS (" + WHOLE + """),
 uq AS (SELECT symbol_id || '#u' AS query_id, 'where is `' || symbol_name || '` used' AS query FROM sampled UNION ALL SELECT symbol_id || '#q', 'find usages of ' || qualname FROM sampled),
 """
 USAGE_SQL = USAGE_QUERIES + f"""tq AS (SELECT query_id, t.base AS base, t.qualified AS qualified FROM (SELECT query_id, {q.usage_tokens('query')} AS t FROM uq) WHERE t IS NOT NULL),
@@ -452,7 +511,7 @@ hits AS (SELECT *, 'refs' AS tbl FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def usage_queries(c: Corpus) -> DataFrame:
-    s = sampled_symbols(c)
+    s = asked_symbols(c)
     asks = F.array(F.struct(F.lit("#u").alias("n"), F.concat(F.lit("where is `"), "symbol_name", F.lit("` used")).alias("text")), F.struct(F.lit("#q").alias("n"), F.concat(F.lit("find usages of "), "qualname").alias("text")))
     return s.select("symbol_id", F.explode(asks).alias("a")).select(F.concat("symbol_id", "a.n").alias("query_id"), F.col("a.text").alias("query"))
 
@@ -462,7 +521,7 @@ def search_usage(c: Corpus) -> DataFrame:
     return _shown(search.usages(c.tables(), usage_queries(c), 20))
 
 
-@query("+ sampled AS (" + NAMED + """),
+@query("+ sampled AS (" + WHOLE + """),
 held AS (SELECT ref_id, len(token_texts) AS dl, unnest(list_distinct(list_transform(token_texts, lambda x: lower(x)))) AS term FROM refs),
 n0 AS (SELECT * FROM (SELECT symbol_id AS query_id, ref_id AS id, symbol_name AS needle, row_number() OVER (PARTITION BY symbol_id ORDER BY round(1 / dl::DOUBLE, 6) DESC, ref_id) - 1 AS rank FROM held JOIN sampled ON term = lower(symbol_name)) WHERE rank < 2400),
 scored AS (SELECT n0.*, file_path, start_line, ref_kind, round(round(1.0::DOUBLE / (61 + rank), 9) * (CASE ref_kind WHEN 'call' THEN 1.15::DOUBLE WHEN 'import' THEN 1.1::DOUBLE ELSE 1 END) * (CASE WHEN """ + q.TEST_PATH + """ THEN 0.6::DOUBLE ELSE 1 END), 9) AS score FROM n0 JOIN refs ON ref_id = id),
@@ -472,7 +531,7 @@ spread AS (SELECT * REPLACE (round(score * (1 / (1 + n * 0.25::DOUBLE)), 9) AS s
 placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f) AS pos FROM spread) WHERE pos <= 200)
 SELECT query_id, file_path, count(*) AS n, string_agg(id, ',' ORDER BY start_line, id) AS refs FROM placed GROUP BY query_id, file_path""")
 def find_usages_grouped(c: Corpus) -> DataFrame:
-    asks = sampled_symbols(c).select(F.col("symbol_id").alias("query_id"), "symbol_name")
+    asks = asked_symbols(c).select(F.col("symbol_id").alias("query_id"), "symbol_name")
     groups = fusion.grouped_usages(search.find_usages({"refs": c.refs}, asks))
     ordered = F.array_sort(F.transform("refs", lambda r: F.struct(r["start_line"].alias("l"), r["ref_id"].alias("i"))))
     return groups.select("query_id", "file_path", "n", F.array_join(F.transform(ordered, lambda r: r["i"]), ",").alias("refs"))
@@ -635,12 +694,12 @@ def eval_mrr(c: Corpus) -> DataFrame:
 LITERAL_ASKS = "+ lits AS (SELECT chunk_id, file_path, start_line, end_line, string_literals[1] AS query FROM chunks WHERE len(string_literals) > 0 ORDER BY sha256('1337|' || chunk_id), chunk_id LIMIT 20),"
 
 
-@query(LITERAL_ASKS + f" t0 AS (SELECT chunk_id AS query_id, {q.simple_tokens('query', None)} AS terms FROM lits)," + q.bm25("c", "t0", "chunks", q.simple_tokens("code_text", None), "chunk_id", 5) + " SELECT l.chunk_id AS query_id, bool_or(coalesce(k.file_path = l.file_path AND k.start_line <= l.end_line AND k.end_line >= l.start_line, false)) AS hit FROM lits l LEFT JOIN c ON c.query_id = l.chunk_id LEFT JOIN chunks k ON k.chunk_id = c.id GROUP BY 1")
+@query(LITERAL_ASKS + f" t0 AS (SELECT chunk_id AS query_id, {q.simple_tokens('query')} AS terms FROM lits)," + q.bm25("c", "t0", "chunks", q.simple_tokens("code_text"), "chunk_id", 5) + " SELECT l.chunk_id AS query_id, bool_or(coalesce(k.file_path = l.file_path AND k.start_line <= l.end_line AND k.end_line >= l.start_line, false)) AS hit FROM lits l LEFT JOIN c ON c.query_id = l.chunk_id LEFT JOIN chunks k ON k.chunk_id = c.id GROUP BY 1")
 def eval_span_hits(c: Corpus) -> DataFrame:
     """Whether the first literal of sampled chunks is found at its place."""
     rows = evaluation.sample_rows(c.chunks.where(F.size("string_literals") > 0).select("chunk_id", "file_path", "start_line", "end_line", F.col("string_literals")[0].alias("query")), "chunk_id", fixed.EVAL_BUCKETS["exact_text"][0], fixed.EVAL_SEED)
     asks = c.spark.createDataFrame(rows.collect(), rows.schema).withColumnRenamed("chunk_id", "query_id")
-    hits = channels.bm25(search.terms(asks, text.simple_tokens(F.col("query"), None)), c.chunks, text.simple_tokens(F.col("code_text"), None), "chunk_id", 5, "chunks.code_text")
+    hits = channels.bm25(search.terms(asks, text.simple_tokens(F.col("query"))), c.chunks, text.simple_tokens(F.col("code_text")), "chunk_id", 5, "chunks.code_text")
     placed = hits.join(c.chunks.select(F.col("chunk_id").alias("id"), "file_path", "start_line", "end_line"), "id").withColumn("pos", F.col("rank") + 1)
     return evaluation.span_hits(asks, placed, 5).select("query_id", "hit")
 

@@ -37,7 +37,7 @@ def terms(queries: DataFrame, tokens: Column) -> DataFrame:
 
 def literal_tokens(literals: str) -> Column:
     """Tokens of a list of strings."""
-    return F.flatten(F.transform(literals, lambda x: simple_tokens(x, None)))
+    return F.flatten(F.transform(literals, lambda x: simple_tokens(x)))
 
 
 def _column(rows: DataFrame, name: str, otherwise: Column) -> Column:
@@ -120,10 +120,10 @@ def concept(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope | None
 def exact_text(tables: Tables, queries: DataFrame, k: int = 20, scope: Scope | None = None) -> DataFrame:
     """Chunks and symbols by their string literals and code; tests are not demoted."""
     keep, n = (scope or Scope()).flag(), oversample("exact", k)
-    asked = terms(queries, simple_tokens(F.col("query"), None))
+    asked = terms(queries, simple_tokens(F.col("query")))
     key = {"chunks": "chunk_id", "symbols": "symbol_id"}
     channels = [bm25(asked, tables[t], literal_tokens("string_literals"), key[t], n, f"{t}.string_literals", keep) for t in ("chunks", "symbols")]
-    channels += [bm25(asked, tables[t], simple_tokens(F.col("code_text"), None), key[t], n, f"{t}.code_text", keep) for t in ("chunks", "symbols")]
+    channels += [bm25(asked, tables[t], simple_tokens(F.col("code_text")), key[t], n, f"{t}.code_text", keep) for t in ("chunks", "symbols")]
     return _ranked(tables, queries, channels, n, "exact_text", "symbols+chunks", k, tests=False, lexical=False)
 
 

@@ -115,10 +115,14 @@ def fuzzy_plan(queries: str) -> str:
   FROM (SELECT *, string_split_regex(string_split(raw, '::')[-1], '[.#]')[-1] AS tok FROM (SELECT query_id, query, {bare('query', True)} AS raw FROM {queries})) WHERE regexp_matches(raw, '^{CHAIN}\z') AND length(tok) >= 4)"""
 
 
+#: The function counts bytes; tokens are ASCII, so a letter that is not may be any one byte that no token has.
+ONE_BYTE = r"regexp_replace(name, '[^\x00-\x7F]', '?', 'g')"
+
+
 def fuzzy(name: str, plans: str, rows: str, value: str, key: str, limit: int, token: str = "symbol_token", where: str = "true") -> str:
     return f"""
 {name}_n AS (SELECT DISTINCT lower({value}) AS name FROM {rows}),
-{name}_x AS (SELECT query_id, name, d FROM (SELECT query_id, name, levenshtein(name, {token}) AS d, row_number() OVER (PARTITION BY query_id ORDER BY levenshtein(name, {token}), name) AS place FROM {plans} p JOIN {name}_n ON {token} IS NOT NULL AND left(name, p.prefix_length) = left({token}, p.prefix_length) AND abs(length(name) - length({token})) <= fuzziness WHERE levenshtein(name, {token}) <= fuzziness) WHERE place <= {fixed.MAX_EXPANSIONS}),
+{name}_x AS (SELECT query_id, name, d FROM (SELECT query_id, name, levenshtein({ONE_BYTE}, {token}) AS d, row_number() OVER (PARTITION BY query_id ORDER BY levenshtein({ONE_BYTE}, {token}), name) AS place FROM {plans} p JOIN {name}_n ON {token} IS NOT NULL AND left(name, p.prefix_length) = left({token}, p.prefix_length) AND abs(length(name) - length({token})) <= fuzziness WHERE levenshtein({ONE_BYTE}, {token}) <= fuzziness) WHERE place <= {fixed.MAX_EXPANSIONS}),
 {name} AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, id) - 1 AS rank, raw_score FROM (SELECT query_id, {key} AS id, 1 / (1 + d)::DOUBLE AS raw_score FROM {name}_x JOIN {rows} ON lower({value}) = name WHERE {where})) WHERE rank < {limit})"""
 
 

@@ -8,6 +8,7 @@ so a store may be anywhere that Spark reads.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
@@ -57,6 +58,10 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: How long versions that are no longer current are kept for those who read them.
+KEEP_SECONDS = 3600.0
+
+
 @dataclass
 class Manifest:
     """What the store holds; read with defaults for what is missing."""
@@ -80,7 +85,10 @@ class Store:
     def _path(self, name: str):  # noqa: ANN202
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        fs = path.getFileSystem(conf)
+        # beside checksum files a rename takes two steps
+        return (jvm.org.apache.hadoop.fs.FileSystem.getLocal(conf).getRaw() if fs.getScheme() == "file" else fs), path
 
     def _read_text(self, name: str) -> str | None:
         fs, path = self._path(name)
@@ -98,8 +106,16 @@ class Store:
         stream = fs.create(beside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        fs.delete(path, False)
-        fs.rename(beside, path)
+        # one step: readers find the old text or the new one
+        if fs.getScheme() == "file":
+            fs.rename(beside, path)
+            return
+        context = self.spark.sparkContext
+        options = getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = context._gateway.new_array(options, 1)
+        over[0] = options.OVERWRITE
+        whole = fs.makeQualified(path)
+        context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), context._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), whole, over)
 
     def compatibility(self) -> dict[str, object]:
         """``status`` (not_indexed, corrupt_manifest, needs_reindex, compatible), the version needed and the one found, and a message."""
@@ -181,16 +197,17 @@ class Store:
         manifest = self.manifest()
         return {r["name"]: r["n"] for r in counts({n: self.read(n, manifest) for n in BY_FILE}).collect()}
 
-    def vacuum(self) -> int:
-        """Removes folders that the manifest does not name; returns how many."""
+    def vacuum(self, keep_seconds: float = KEEP_SECONDS) -> int:
+        """Removes folders that the manifest does not name and that are older than that: readers finish with the version that they began with. Returns how many."""
         manifest, gone = self.manifest(), 0
+        newest = (time.time() - keep_seconds) * 1000
         for name in SCHEMAS:
             fs, top = self._path(name)
             if not fs.exists(top):
                 continue
             for status in fs.listStatus(top):
                 folder = f"{name}/{status.getPath().getName()}"
-                if folder != manifest.tables.get(name):
+                if folder != manifest.tables.get(name) and status.getModificationTime() <= newest:
                     gone += bool(fs.delete(status.getPath(), True))
         return gone
 

@@ -79,3 +79,14 @@ def test_text_functions(spark):
     assert one(text.identifier_parts(F.lit("getHTTPServer-name_x2Y")), text.indexed_parts(F.lit("getHTTPServer2_x")), text.middle_deleted(F.lit("abcdef")), text.middle_deleted(F.lit("abc"))) == (["get", "http", "server", "name", "x2", "y"], ["get", "http", "server", "2", "x"], "abcef", None)
     assert one(text.is_symbolish(F.lit("Ab")), text.is_symbolish(F.lit("A")), text.is_symbolish(F.lit("aB")), text.extension(F.lit("a.b/c")), text.extension(F.lit("x.test.ts")), text.is_test_path(F.lit("a/__Tests__/b"))) == (True, False, False, "", ".ts", True)
     assert one(text.normal_doc(F.lit("/** Hello\n  * there  you\n */")), text.prefix_tokens(F.lit("AbC"), 2, 8), text.prefix_tokens(F.lit("a"), 2, 8), text.code_to_query(F.lit("the of"))) == ("Hello there you", ["ab", "abc"], [], None)
+
+
+def test_tokens_of_over_256_characters_are_not_searched(spark):
+    from querrick.plans import search
+
+    rows = [("c1", "a.py", ["lit " + "l" * 300], "word " + "w" * 300 + " " + "v" * 256)]
+    chunks = spark.createDataFrame([(i, p, 1, 1, "block", li, code) for i, p, li, code in rows], "chunk_id string, file_path string, start_line int, end_line int, chunk_kind string, string_literals array<string>, code_text string")
+    symbols = spark.createDataFrame([], "symbol_id string, file_path string, start_line int, end_line int, qualname string, string_literals array<string>, code_text string, is_exported boolean")
+    asks = spark.createDataFrame([("long", "w" * 300), ("literal", "l" * 300), ("just", "v" * 256), ("short", "word")], "query_id string, query string")
+    found = {r.query_id for r in search.exact_text({"chunks": chunks, "symbols": symbols}, asks).collect()}
+    assert found == {"just", "short"}

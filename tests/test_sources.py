@@ -61,7 +61,8 @@ def test_store(spark, tmp_path):
     store.upsert({"embedding_cache": spark.createDataFrame([("h", [1.0])], "input_hash string, vector array<float>")})
     store.reset()
     assert store.counts()["refs"] == 0 and store.read("embedding_cache").count() == 1
-    assert store.vacuum() >= 3 and store.read("embedding_cache").count() == 1
+    assert store.vacuum() == 0
+    assert store.vacuum(keep_seconds=0) >= 3 and store.read("embedding_cache").count() == 1
     store.reset(drop_cache=True)
     assert store.read("embedding_cache").count() == 0
     assert json.loads(Path(tmp_path, "manifest.json").read_text())["schema_version"] == 6
@@ -208,3 +209,37 @@ def test_streams(spark, tmp_path):
     (tree / "c.py").write_text("3")
     poll()
     assert seen[-1] == ["a.py", "b.py", "c.py"]
+
+
+def test_readers_always_find_a_manifest(spark, tmp_path):
+    """While a writer replaces the manifest again and again, every read finds a whole one."""
+    import threading
+
+    from querrick.sources.store import Manifest, Store
+
+    store = Store(spark, str(tmp_path))
+    store.save(Manifest(repo_id="0"))
+    stop, seen = threading.Event(), []
+
+    def read():
+        while not stop.is_set():
+            seen.append(store.compatibility()["status"])
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for i in range(40):
+        store.save(Manifest(repo_id=str(i)))
+    stop.set()
+    reader.join()
+    assert set(seen) == {"compatible"} and store.manifest().repo_id == "39"
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    from querrick.sources.store import Store
+
+    store = Store(spark, str(tmp_path))
+    refs = spark.createDataFrame([("r1", "a.py")], "ref_id string, file_path string")
+    store.upsert({"refs": refs})
+    old = store.read("refs")
+    store.upsert({"refs": refs.withColumn("ref_id", F.lit("r2"))})
+    assert store.vacuum() == 0 and [r.ref_id for r in old.collect()] == ["r1"]
