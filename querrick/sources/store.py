@@ -88,7 +88,7 @@ class Store:
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         fs = path.getFileSystem(conf)
         # beside checksum files a rename takes two steps
-        return (jvm.org.apache.hadoop.fs.FileSystem.getLocal(conf).getRaw() if fs.getScheme() == "file" else fs), path
+        return (jvm.org.apache.hadoop.fs.FileSystem.getLocal(conf).getRaw() if fs.getUri().getScheme() == "file" else fs), path
 
     def _read_text(self, name: str) -> str | None:
         fs, path = self._path(name)
@@ -107,7 +107,7 @@ class Store:
         stream.write(bytearray(text.encode()))
         stream.close()
         # one step: readers find the old text or the new one
-        if fs.getScheme() == "file":
+        if fs.getUri().getScheme() == "file":
             fs.rename(beside, path)
             return
         context = self.spark.sparkContext
