@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import bisect
+import keyword
 import re
 from dataclasses import dataclass, field
 
@@ -22,6 +23,20 @@ PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 SYMBOLISH = re.compile(r"[A-Z][A-Za-z0-9]+|[A-Z][A-Z0-9_]+")
 OWN = ("this", "self", "super", "cls", "Self", "base", "parent")
 KEYWORDS = frozenset("if for while switch catch return new function async await typeof elif else do try throw match when guard in not and or yield assert with lambda def class fn func fun import from foreach using lock sizeof nameof require_once include_once require include echo".split())
+#: Words that are no identifiers, by language.
+RESERVED = {
+    "python": frozenset(keyword.kwlist),
+    "typescript": frozenset("abstract any as async await boolean break case catch class const continue debugger declare default delete do else enum export extends false finally for from function get if implements import in instanceof interface keyof let namespace never new null number object of private protected public readonly return set static string super switch symbol this throw true try type typeof undefined unknown var void while with yield".split()),
+    "go": frozenset("break case chan const continue default defer else fallthrough false for func go goto if import interface iota map nil package range return select struct switch true type var".split()),
+    "rust": frozenset("as async await bool break char const continue crate dyn else enum extern f32 f64 false fn for i16 i32 i64 i8 if impl in isize let loop match mod move mut pub ref return self static str struct super trait true type u16 u32 u64 u8 unsafe use usize where while".split()),
+    "java": frozenset("abstract assert boolean break byte case catch char class continue default do double else enum extends false final finally float for if implements import instanceof int interface long native new null package private protected public record return short static super switch synchronized this throw throws transient true try void volatile while".split()),
+    "csharp": frozenset("abstract as async await base bool break byte case catch char class const continue decimal default do double else enum extern false finally float for foreach get if in int interface internal is lock long namespace new null object out override params private protected public readonly record ref return sbyte sealed set short static string struct switch this throw true try typeof uint ulong unsafe using var virtual void while yield".split()),
+    "kotlin": frozenset("abstract as break by catch class companion continue data do else enum false final finally for fun if import in inline inner interface internal is lateinit null object open override package private protected public return sealed super suspend this throw true try val var when while".split()),
+    "swift": frozenset("as break case catch class continue default defer do else enum extension fallthrough false fileprivate final for func guard if import in init inout internal is let mutating nil open override private protocol public repeat rethrows return self static struct subscript super switch throw throws true try var where while".split()),
+    "php": frozenset("abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty extends false final finally fn for foreach function global if implements include instanceof interface isset list match namespace new null or print private protected public readonly require return static switch throw trait true try unset use var while yield".split()),
+}
+#: What stands before a name that is declared, not called.
+DECLARED = re.compile(r"(?:\b(?:function|fn|func|fun|def|class)\s*\*?|\bfunc\s*\([^()]*\)|\b(?:public|private|protected|internal|fileprivate))\s+\Z")
 
 
 @dataclass
@@ -59,6 +74,7 @@ class Parsed:
     definitions: list[Definition]
     refs: list[Ref]
     masked: Masked
+    language: str
     failed: bool = False
 
 
@@ -88,7 +104,7 @@ def _python(text: str) -> Parsed:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return Parsed([], [], masked, failed=True)
+        return Parsed([], [], masked, "python", failed=True)
     lines, starts = text.split("\n"), Lines(text).starts
 
     def place(row: int, col: int) -> int:
@@ -111,10 +127,12 @@ def _python(text: str) -> Parsed:
                 d.decorators = [ast.unparse(x.func if isinstance(x, ast.Call) else x) for x in node.decorator_list]
                 head = []
                 for line in lines[node.lineno - 1 : node.lineno + 9]:
-                    head.append(line.strip())
+                    head.append(line)
                     if ":" in line:
                         break
-                d.signature = " ".join(head)
+                else:
+                    head = head[:1]
+                d.signature = "\n".join(head).strip()
                 d.statements = [(s.lineno, s.end_lineno) for s in node.body]
                 found.append(d)
                 if is_class:
@@ -144,7 +162,7 @@ def _python(text: str) -> Parsed:
         elif isinstance(node, ast.Name) and len(node.id) > 1 and SYMBOLISH.fullmatch(node.id):
             at = place(node.lineno, node.col_offset)
             refs.append(Ref("identifier", at, at + len(node.id), [node.id]))
-    return Parsed(found, refs, masked)
+    return Parsed(found, refs, masked, "python")
 
 
 def _chain(node: ast.expr) -> list[str]:
@@ -258,7 +276,7 @@ def _braces(text: str, language: str) -> Parsed:
                 at = max(d.end, m.end())
 
     walk(0, len(code), None)
-    return Parsed(found, _refs(text, masked, language, found), masked, failed and not found)
+    return Parsed(found, _refs(text, masked, language, found), masked, language, failed and not found)
 
 
 def _past_parameters(code: str, at: int, limit: int) -> int:
@@ -298,13 +316,18 @@ def _describe(d: Definition, text: str, masked: Masked, lines: Lines, language:
     """Signature, docstring, decorators and whether it is exported."""
     flavour = FLAVOUR.get(language, language)
     rows = text.split("\n")
-    head = []
-    for row in rows[d.start_line - 1 : d.start_line + 9]:
-        cut = re.split(r"\{|=>" if flavour == "typescript" else r"\{", row, maxsplit=1)
-        head.append(cut[0].strip())
-        if len(cut) > 1 or row.rstrip().endswith(";"):
-            break
-    d.signature = " ".join(x for x in head if x) or None
+    if flavour == "typescript":
+        # one line, up to its brace or with its arrow
+        first = rows[d.start_line - 1]
+        d.signature = (first.partition("{")[0] if "{" in first else "".join(first.partition("=>")[:2])).strip()
+    else:
+        head = []
+        for row in filter(None, rows[d.start_line - 1 : d.start_line + 9]):
+            before, brace, _ = row.partition("{")
+            head.append(before.strip() if brace else row)
+            if brace:
+                break
+        d.signature = "\n".join(head).strip() or None
     pattern, at = DECORATOR.get(flavour), d.start_line - 2
     if pattern:
         d.decorators += INLINE_DECORATOR.findall(rows[d.start_line - 1][: d.start - lines.starts[d.start_line - 1]])
@@ -419,7 +442,7 @@ def _refs(text: str, masked: Masked, language: str, definitions: list[Definition
         chain = [x for x in re.split(r"\s*(?:\?\.|\.|::|->)\s*", m[1])]
         base = chain[-1].lstrip("$")
         at = m.end(1) - len(chain[-1])
-        if base in KEYWORDS or at in heads or re.search(r"\b(?:function|fn|func|fun|def)\s+$", code[max(0, m.start() - 12) : m.start()]):
+        if base in KEYWORDS or at in heads or DECLARED.search(code, max(0, m.start() - 200), m.start()):
             continue
         if not re.search(r"(?:^|[^.\w])\s*$", code[max(0, m.start() - 1) : m.start()]) and code[m.start() - 1 : m.start()] == ".":
             chain = ["", "", base]
@@ -463,13 +486,15 @@ def facts(parsed: Parsed | None, text: str, start: int, end: int) -> dict[str, l
         words = unique(re.findall(r"[A-Za-z_][A-Za-z0-9_]*", text[start:end]))
         literals = unique([m[2] for m in re.finditer(r"([\"'`])((?:\\.|(?!\1)[^\\\n])*)\1", text[start:end]) if 0 < len(m[2]) <= MAX_LITERAL_CHARS])
         return {"identifiers": words, "identifier_parts": unique([p for w in words for p in parts_of(w)]), "called_names": [], "string_literals": literals}
-    code = parsed.masked.code[start:end]
-    words = unique([w for w in WORD.findall(code)])
+    code, reserved = parsed.masked.code, RESERVED.get(FLAVOUR.get(parsed.language, parsed.language), frozenset())
+    words = unique([w for w in WORD.findall(code[start:end]) if w not in reserved])
+    heads = {d.name_at for d in parsed.definitions}
     calls: list[str] = []
-    for m in CALL.finditer(code):
+    for m in CALL.finditer(code, start, end):
         raw = re.sub(r"\s+", "", m[1])
         last = WORD.findall(raw)[-1]
-        if last not in KEYWORDS and len(raw) <= MAX_CALL_CHARS:
-            calls += [raw, last]
-    literals = [v for s, e, v in parsed.masked.strings if start <= s and e <= end and 0 < len(v) <= MAX_LITERAL_CHARS]
+        if last in KEYWORDS or m.end(1) - len(last) in heads or DECLARED.search(code, max(0, m.start() - 200), m.start()):
+            continue
+        calls += [raw, last] if len(raw) <= MAX_CALL_CHARS else [last]
+    literals = [v[:MAX_LITERAL_CHARS] for s, e, v in parsed.masked.strings if start <= s and e <= end and v]
     return {"identifiers": words, "identifier_parts": unique([p for w in words for p in parts_of(w)]), "called_names": unique(calls), "string_literals": unique(literals)}

@@ -59,12 +59,17 @@ def snippet(content: Column, line: Column, most: int = 240) -> Column:
     return F.substring(collapse(F.array_join(F.slice(F.split(content, "\n"), first.cast("int"), (line + 2 - first).cast("int")), " ")), 1, most)
 
 
-def symbol_details(symbols: DataFrame, symbol: str, with_code: bool = True, most: int = MAX_CODE_CHARS) -> DataFrame:
-    """A symbol; its code cut to ``most`` characters, flagged by ``code_truncated``, or left out."""
-    row = project(by_id(symbols, "symbol_id", symbol), SYMBOL_COLUMNS)
+def details(symbols: DataFrame, with_code: bool = True, most: int = MAX_CODE_CHARS) -> DataFrame:
+    """Symbols, their code cut to ``most`` characters, flagged by ``code_truncated``, or left out."""
+    rows = project(symbols, SYMBOL_COLUMNS)
     if not with_code:
-        return row.drop("code_text")
-    return row.withColumn("code_truncated", F.length("code_text") > most).withColumn("code_text", truncate(F.col("code_text"), most, "\n…(truncated)…"))
+        return rows.drop("code_text")
+    return rows.withColumn("code_truncated", F.length("code_text") > most).withColumn("code_text", truncate(F.col("code_text"), most, "\n…(truncated)…"))
+
+
+def symbol_details(symbols: DataFrame, symbol: str, with_code: bool = True, most: int = MAX_CODE_CHARS) -> DataFrame:
+    """One symbol's ``details``."""
+    return details(by_id(symbols, "symbol_id", symbol), with_code, most)
 
 
 def surroundings(tables: dict[str, DataFrame], table: str, ids: DataFrame, limit: int = 25) -> DataFrame:

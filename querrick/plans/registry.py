@@ -733,3 +733,6 @@ def batch_windows(c: Corpus) -> DataFrame:
 @query("SELECT user_id, count(*) AS n, min(ts) AS first_ts FROM events GROUP BY user_id", "")
 def pending_paths(c: Corpus) -> DataFrame:
     return c.raw("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+
+
+from . import generated, values  # noqa: E402, F401  these register their queries too

@@ -6,6 +6,9 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..fixed import IGNORED_DIRS, IGNORED_FILES, IGNORED_PATTERNS
 
 
@@ -72,6 +75,18 @@ class IgnoreRules:
         return last is not None and not last.keeps
 
 
+def ignored(path: Column, lines: Iterable[str] = ()) -> Column:
+    """``IgnoreRules.ignores`` as an expression, for listings that are tables."""
+    rules = IgnoreRules(lines)
+    holds = lambda r: path.rlike("(?s)\\A(?:" + r.regex.pattern.removesuffix(r"\Z") + ")\\z")
+    out = F.lit(False)
+    for rule in rules.rules:
+        out = F.when(holds(rule), F.lit(not rule.keeps)).otherwise(out)
+    for rule in rules.always:
+        out = out | holds(rule)
+    return out
+
+
 def to_glob(pattern: str) -> str:
     """An ignore pattern as a glob. A bare name without dot, star or question mark counts as a folder."""
     body = pattern.removeprefix("/").removesuffix("/")
