@@ -156,7 +156,7 @@ units AS (SELECT input_hash, list_transform(range(1, 9), lambda s: fmod(floor(fm
 vectors AS (SELECT input_hash, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y)))) AS v FROM units)"""
 
 
-@query(HASHED + " SELECT file_id, len(v)::INT AS dimensions, round(v[1], 4) AS v1, round(v[2], 4) AS v2, round(v[8], 4) AS v8 FROM files JOIN vectors ON input_hash = sha256(left(content, 200))")
+@query(HASHED + " SELECT file_id, len(v)::INT AS dimensions, round(v[1]::FLOAT::DOUBLE, 4) AS v1, round(v[2]::FLOAT::DOUBLE, 4) AS v2, round(v[8]::FLOAT::DOUBLE, 4) AS v8 FROM files JOIN vectors ON input_hash = sha256(left(content, 200))")
 def embed_and_attach(c: Corpus) -> DataFrame:
     """Vectors of distinct texts, of which the cache holds a part, joined to their files."""
     rows = c.files.withColumn("input", F.substring("content", 1, 200)).withColumn("embed_hash", F.sha2("input", 256))
