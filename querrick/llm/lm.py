@@ -187,20 +187,25 @@ class Model:
         self.by_unit = table[ends[2] :].reshape(k, s, SIZE + 1)
 
     def predicted(self, ahead: list[np.ndarray]) -> np.ndarray:
-        return sum(self.context[h] @ self.turn[i] for i, h in enumerate(ahead))
+        """The vectors predicted from contexts; each unit is turned once for a position, however often it stands there."""
+        out = (self.context @ self.turn[0])[ahead[0]]
+        for i, h in enumerate(ahead[1:], 1):
+            out += (self.context @ self.turn[i])[h]
+        return out
 
     def log_probabilities(self, ahead: list[np.ndarray], unit: np.ndarray) -> np.ndarray:
         """Natural log-probabilities, normalised over all units, of the units after their contexts."""
-        order = np.argsort(unit, kind="stable")
-        p, own = self.predicted([h[order] for h in ahead]), unit[order]
+        order = _sorted(unit)
+        own = unit[order]
+        p = np.ascontiguousarray(self.predicted([h[order] for h in ahead]).T)
         cls, slot = own // self.width, own % self.width
         got = np.empty(len(own), dtype=np.float32)
-        vectors, bias = np.ascontiguousarray(self.by_class[:, :SIZE].T), self.by_class[:, SIZE]
+        vectors, bias = self.by_class[:, :SIZE], self.by_class[:, SIZE:]
         for at in range(0, len(own), SLICE):
-            got[at : at + SLICE] = _picked(p[at : at + SLICE] @ vectors + bias, cls[at : at + SLICE])
+            got[at : at + SLICE] = _picked(vectors @ p[:, at : at + SLICE] + bias, cls[at : at + SLICE])
         for c, rows in _segments(cls):
-            real = self.real[c]
-            got[rows] += _picked(p[rows] @ self.by_unit[c, real, :SIZE].T + self.by_unit[c, real, SIZE], slot[rows])
+            some = self.by_unit[c, self.real[c]]
+            got[rows] += _picked(some[:, :SIZE] @ p[:, rows] + some[:, SIZE:], slot[rows])
         out = np.empty_like(got)
         out[order] = got
         return out
@@ -212,7 +217,7 @@ class Model:
         of tokens, and NOISE units of its class for the tokens of a class.
         """
         out = np.zeros_like(self.table)
-        order = np.argsort(unit, kind="stable")
+        order = _sorted(unit)
         ahead, own = [h[order] for h in ahead], unit[order]
         p, cls, slot = self.predicted(ahead), own // self.width, own % self.width
         a, b = self.ends[1], self.ends[2]
@@ -230,12 +235,14 @@ class Model:
         for c, rows in _segments(cls):
             drawn = np.minimum(np.searchsorted(self.draw_within[c], rng.random(NOISE)), self.width - 1)
             self._less(out[b + c * self.width : b + (c + 1) * self.width], self.by_unit[c], drawn, self.within[c], p, back, rows)
-        for i, h in enumerate(ahead):
-            at = self.ends[0] + i * SIZE
-            out[at : at + SIZE, :SIZE] = self.context[h].T @ back
-            more, order = back @ self.turn[i].T, np.argsort(h, kind="stable")
-            first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-            out[h[order][first], :SIZE] += np.add.reduceat(more[order], first, axis=0)
+        # what goes back is added up by unit and position before it is turned
+        for i, h in enumerate(ahead if len(own) else ()):
+            at, order = self.ends[0] + i * SIZE, _sorted(h)
+            key = h[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            met, sums = key[first], np.add.reduceat(back[order], first, axis=0)
+            out[at : at + SIZE, :SIZE] = self.context[met].T @ sums
+            out[met, :SIZE] += sums @ self.turn[i].T
         return out
 
     def _less(self, out: np.ndarray, vectors: np.ndarray, drawn: np.ndarray, noise: np.ndarray, p: np.ndarray, back: np.ndarray, rows: slice) -> None:
@@ -267,12 +274,17 @@ def _add_by(out: np.ndarray, key: np.ndarray, more: np.ndarray, p: np.ndarray) -
     out[key[first], SIZE] += np.add.reduceat(more, first)
 
 
-def _picked(energy: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Log-softmax of the rows at one column each; ``energy`` is used up."""
-    energy -= energy.max(axis=1, keepdims=True)
-    out = energy[np.arange(len(energy)), column]
+def _picked(energy: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Log-softmax of the columns at one row each; ``energy`` is used up."""
+    energy -= energy.max(axis=0)
+    out = energy[row, np.arange(energy.shape[1])]
     np.exp(energy, out=energy)
-    return out - np.log(energy.sum(axis=1))
+    return out - np.log(energy.sum(axis=0))
+
+
+def _sorted(unit: np.ndarray) -> np.ndarray:
+    """The stable order of units; small numbers are sorted by their digits."""
+    return np.argsort(unit.astype(np.int16) if len(unit) and unit.max() < 1 << 15 else unit, kind="stable")
 
 
 def _segments(cls: np.ndarray) -> Iterator[tuple[int, slice]]:
