@@ -123,3 +123,26 @@ def test_tables(spark):
     assert {c["chunk_kind"] for c in chunks} == {"statement_group", "block", "markdown_section"}
     assert got["files"].count() == 4 and got["refs"].where("file_path = 'b.ts'").count() > 5
     assert got["files"].where("file_path = 'b.ts'").first()["file_summary_text"].startswith("File: b.ts\nExports: Basket, arrow\nImports: ../repo, ../net")
+
+
+def test_declared_names_are_no_calls_and_keywords_no_identifiers():
+    got = rows("a.go", "package a\nfunc (b *box) get(n int) int { return put(n) }\nfunc make2(x int) int { return b.get(x) }\n")
+    assert [r["token_texts"] for r in got["ref"] if r["kind"] == "call"] == [["put"], ["get"]]
+    assert got["symbol"][0]["called_names"] == ["b.get", "get"] and got["symbol"][0]["identifiers"] == ["make2", "x", "int", "b", "get"]
+    java = rows("A.java", "public class A {\n  public A(int n) { go(n); }\n  void go(\n    int n) { }\n}\n")
+    assert [r["token_texts"] for r in java["ref"] if r["kind"] == "call"] == [["go"]]
+    assert java["symbol"][1]["signature"] == "void go(\nint n)"
+    assert rows("a.ts", "export const f = (\n  a: number) => a;\n")["symbol"][0]["signature"] == "export const f = ("
+    long = "x" * 600
+    assert rows("a.py", f'def f():\n    return g("{long}")\n')["symbol"][0]["string_literals"] == [long[:512]]
+
+
+def test_ignored_as_an_expression(spark):
+    from pyspark.sql import functions as F
+
+    from querrick.sources.ignore import IgnoreRules, ignored
+
+    lines = ("*.log", "!keep.log", "/build/", "a/**/b.txt", "x[0-9].py", "\\#odd")
+    paths = ["a.log", "s/keep.log", "build/x", "s/build/x", "a/b.txt", "a/c/d/b.txt", "x1.py", "xa.py", "#odd", "node_modules/a.js", "a/go.sum", "b\n.log", ""]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", ignored(F.col("p"), lines).alias("i")).collect()
+    assert {r.p: r.i for r in got} == {p: IgnoreRules(lines).ignores(p) for p in paths}
