@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from querrick.operators import refs
+from querrick.operators import fusion, refs
 from querrick.plans import search
 from querrick.sources.corpus import Corpus
 
@@ -43,3 +43,10 @@ def test_equal_names_are_searched_once(spark):
         hits.setdefault(r.query_id, []).append((r.pos, r.id, r.file_path, r.score))
     assert set(hits) == {0, 1, 2} and len(hits[0]) == 5
     assert sorted(hits[0]) == sorted(hits[1]) == sorted(hits[2])
+
+
+def test_exact_rows_are_not_shuffled(spark):
+    rows = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("b", 3, False), ("b", 4, False), ("c", 5, True)], "query_id string, id int, is_exact boolean")
+    got = fusion.prefer_exact(rows, apart=True)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fusion.prefer_exact(rows).collect())) == [("a", 1, True), ("b", 3, False), ("b", 4, False), ("c", 5, True)]
