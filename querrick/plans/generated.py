@@ -198,9 +198,8 @@ described AS (SELECT *, CASE WHEN kind = 'method' THEN owner || '.' || name ELSE
 
 @query("WITH " + _SYMBOLS + " SELECT file_path, kind, name, qualname, start_line, end_line, signature, docstring, exported AS is_exported, deco AS decorators, called, literals, lang AS language_hint, context_header, concat_ws(chr(10), signature, docstring, context_header) AS embed_input, owner AS parent FROM described", "")
 def extract_symbols(c: Corpus) -> DataFrame:
-    found = extracted_tables(c)["symbols"]
-    parents = found.where("kind = 'class'").select(F.col("symbol_id").alias("parent_symbol_id"), F.col("name").alias("parent"))
-    told = found.join(parents, "parent_symbol_id", "left")
+    """A parent is the class of its methods' class name, so that its own row is not looked up by extracting all files again."""
+    told = extracted_tables(c)["symbols"].withColumn("parent", F.when(F.col("parent_symbol_id").isNotNull(), F.col("class_name")))
     return told.select(
         "file_path", "kind", "name", "qualname", "start_line", "end_line", "signature", "docstring", "is_exported", F.array_join("decorator_names", " ").alias("decorators"),
         F.array_join("called_names", " ").alias("called"), F.array_join("string_literals", "|").alias("literals"), "language_hint", "context_header", "embed_input", "parent",

@@ -146,3 +146,11 @@ def test_ignored_as_an_expression(spark):
     paths = ["a.log", "s/keep.log", "build/x", "s/build/x", "a/b.txt", "a/c/d/b.txt", "x1.py", "xa.py", "#odd", "node_modules/a.js", "a/go.sum", "b\n.log", ""]
     got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", ignored(F.col("p"), lines).alias("i")).collect()
     assert {r.p: r.i for r in got} == {p: IgnoreRules(lines).ignores(p) for p in paths}
+
+
+def test_extract_symbols_extracts_twice_at_most(spark):
+    """Once for the symbols, once for the classes that they belong to."""
+    from querrick.plans.registry import QUERIES
+
+    plan = QUERIES["extract_symbols"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 2
